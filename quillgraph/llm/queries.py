@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quillgraph.llm.components import match_groups
 from quillgraph.llm.formatting import collapse, copies
+from quillgraph.llm.lookalikes import canonical_texts, look_classes, look_pairs
 from quillgraph.llm.representatives import best_records, survivors
 from quillgraph.llm.sql import SQL  # noqa: F401
 from quillgraph.runtime import read
@@ -29,5 +30,17 @@ def p6_collapsed(spark, d):
     return collapse(read(spark, d, "basic_repository_document_pair")).select("group_id", "n_copies")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_best_record, p5_found, p6_found, p6_collapsed)}
+def p9_found(spark, d):
+    return look_pairs(read(spark, d, "documents"))
+
+
+def p9_canonical(spark, d):
+    return canonical_texts(read(spark, d, "documents"))
+
+
+def p9_classes(spark, d):
+    return look_classes(read(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_best_record, p5_found, p6_found, p6_collapsed, p9_found, p9_canonical, p9_classes)}
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quillgraph.llm.lookalikes import steps_sql
+
 _OPEN = "<(\\[{\"''`“”‘’«"
 _CLOSE = ".,;:!?)\\]}>\"''`“”’»/"
 
@@ -69,4 +71,10 @@ SQL = {
         SELECT group_id, raw_id FROM g WHERE n > 1""",
     "p6_collapsed": f"""WITH c AS (SELECT raw_id, {_reference('repo_url')} AS a, {_reference('paper_doi')} AS b FROM basic_repository_document_pair)
         SELECT min(raw_id) AS group_id, CAST(count(*) AS BIGINT) AS n_copies FROM c WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY least(a, b), greatest(a, b)""",
+    "p9_found": f"""WITH c AS (SELECT doc_id, text, s4 FROM ({steps_sql('documents', 'text', 'doc_id, text')}))
+        SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM c a JOIN c b ON a.s4 = b.s4 AND a.text <> b.text AND a.doc_id < b.doc_id""",
+    "p9_canonical": f"SELECT doc_id, s4 AS text FROM ({steps_sql('documents', 'text', 'doc_id')})",
+    "p9_classes": f"""WITH c AS (SELECT doc_id, text, s4 FROM ({steps_sql('documents', 'text', 'doc_id, text')})),
+        g AS (SELECT s4, min(doc_id) AS class_id, CAST(count(DISTINCT text) AS BIGINT) AS n_forms FROM c GROUP BY s4)
+        SELECT doc_id, class_id, n_forms FROM c JOIN g USING (s4) WHERE n_forms > 1""",
 }
