@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from quillgraph.llm.components import match_groups
 from quillgraph.llm.formatting import collapse, copies
+from quillgraph.llm.leakage import decontaminate, leaks
 from quillgraph.llm.lookalikes import canonical_texts, look_classes, look_pairs
 from quillgraph.llm.representatives import best_records, survivors
 from quillgraph.llm.sql import SQL  # noqa: F401
@@ -30,6 +33,19 @@ def p6_collapsed(spark, d):
     return collapse(read(spark, d, "basic_repository_document_pair")).select("group_id", "n_copies")
 
 
+def p8_found(spark, d):
+    return leaks(read(spark, d, "documents"), read(spark, d, "eval_item"))
+
+
+def p8_items(spark, d):
+    """Which items leaked, and into how many documents."""
+    return p8_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
+def p8_cleaned(spark, d):
+    return decontaminate(read(spark, d, "documents"), read(spark, d, "eval_item"))
+
+
 def p9_found(spark, d):
     return look_pairs(read(spark, d, "documents"))
 
@@ -42,5 +58,5 @@ def p9_classes(spark, d):
     return look_classes(read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_best_record, p5_found, p6_found, p6_collapsed, p9_found, p9_canonical, p9_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_best_record, p5_found, p6_found, p6_collapsed, p8_found, p8_items, p8_cleaned, p9_found, p9_canonical, p9_classes)}
 
