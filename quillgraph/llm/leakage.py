@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -195,21 +195,27 @@ def leaks(
     return _each_block(source, items, item_id, item_text, n, block_chars, job, "doc_id long, item_id long").distinct()
 
 
+@lru_cache
+def _fold_tables():
+    gone = INVISIBLE.replace("\\x{E0000}-\\x{E0FFF}", "\\U000E0000-\\U000E0FFF").replace("\\x{", "\\u").replace("}", "")
+    return gone, str.maketrans(LIGATURES | {"ß": "ss"}), str.maketrans(table(any_case=True))
+
+
+@lru_cache(100_000)
 def fold(word: str) -> str:
     """The folded form of a short text, as `steps_sql` has it with any_case."""
     import regex
 
-    s = unicodedata.normalize("NFC", regex.sub("[" + INVISIBLE.replace("\\x{E0000}-\\x{E0FFF}", "\\U000E0000-\\U000E0FFF").replace("\\x{", "\\u").replace("}", "") + "]+", "", word.lower()))
-    for a, b in (LIGATURES | {"ß": "ss"}).items():
-        s = s.replace(a, b)
-    return unicodedata.normalize("NFC", s.translate(str.maketrans(table(any_case=True))))
+    gone, ligatures, single = _fold_tables()
+    s = unicodedata.normalize("NFC", regex.sub(f"[{gone}]+", "", word.lower()))
+    return unicodedata.normalize("NFC", s.translate(ligatures).translate(single))
 
 
 def _spans(text: str, grams: Ngrams) -> list[tuple[int, int]]:
     """Where n-grams of the items stand in `text`, merged."""
     import regex
 
-    gone = INVISIBLE.replace("\\x{E0000}-\\x{E0FFF}", "\\U000E0000-\\U000E0FFF").replace("\\x{", "\\u").replace("}", "")
+    gone = _fold_tables()[0]
     brk = f"[-\\u2010\\u2011\\uFF0D\\u00AD][{gone}]*[ \\t]*\\r?\\n[ \\t>|]*"
     number = {w: i for i, w in enumerate(grams.words)}
     spans: list[tuple[int, int]] = []

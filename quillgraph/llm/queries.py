@@ -8,6 +8,7 @@ from quillgraph.llm.components import match_groups
 from quillgraph.llm.formatting import collapse, copies
 from quillgraph.llm.leakage import decontaminate, leaks
 from quillgraph.llm.lookalikes import canonical_texts, look_classes, look_pairs
+from quillgraph.llm.packing import fill_containers, fill_report
 from quillgraph.llm.representatives import best_records, survivors
 from quillgraph.llm.sql import SQL  # noqa: F401
 from quillgraph.runtime import read
@@ -33,6 +34,14 @@ def p6_collapsed(spark, d):
     return collapse(read(spark, d, "basic_repository_document_pair")).select("group_id", "n_copies")
 
 
+def p7_assignment(spark, d):
+    return fill_containers(read(spark, d, "documents"))
+
+
+def p7_fill(spark, d):
+    return fill_report(p7_assignment(spark, d))
+
+
 def p8_found(spark, d):
     return leaks(read(spark, d, "documents"), read(spark, d, "eval_item"))
 
@@ -58,5 +67,5 @@ def p9_classes(spark, d):
     return look_classes(read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_best_record, p5_found, p6_found, p6_collapsed, p8_found, p8_items, p8_cleaned, p9_found, p9_canonical, p9_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_best_record, p5_found, p6_found, p6_collapsed, p7_assignment, p7_fill, p8_found, p8_items, p8_cleaned, p9_found, p9_canonical, p9_classes)}
 
