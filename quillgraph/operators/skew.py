@@ -19,17 +19,18 @@ def hot_keys(df: DataFrame, keys: list[str], total: int, share: float = HOT_SHAR
     return counts.where(F.col("_rows") > F.lit(max(1.0, total * share))).drop("_rows")
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", *, total: int | None = None, share: float = HOT_SHARE) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", *, total: int | None = None, share: float = HOT_SHARE, hot: DataFrame | None = None) -> DataFrame:
     """Join of `left` to `right`, where `right` has one row a key and `how` is inner, left, left_semi or left_anti.
 
     Rows of hot keys meet their (fewer than 1/share) right rows in a broadcast, so no task gets a
     hot key; all other keys are joined by one shuffle. Rows of `left` whose key is null stay as an
-    ordinary join has them (kept by left and left_anti), without being sent to one partition.
+    ordinary join has them (kept by left and left_anti), without being sent to one partition. `hot`
+    may hold the hot keys of `left`, as `hot_keys` gives them, where they are known from before.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(how)
-    total = left.count() if total is None else total
-    hot = hot_keys(left, keys, total, share)
+    if hot is None:
+        hot = hot_keys(left, keys, left.count() if total is None else total, share)
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()
