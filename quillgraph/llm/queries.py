@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillgraph.llm.components import match_groups
+from quillgraph.llm.consensus import agreement, discover, votes
 from quillgraph.llm.formatting import collapse, copies
 from quillgraph.llm.leakage import decontaminate, leaks
 from quillgraph.llm.lookalikes import canonical_texts, look_classes, look_pairs
@@ -22,6 +23,22 @@ def p1_best_record(spark, d):
     return best_records(read(spark, d, "scholarly_document"), read(spark, d, "document_alternate_doi"))
 
 
+def _votes(spark, d):
+    return votes(read(spark, d, "cc_na_initial_unresolved_set"), read(spark, d, "cc_na_annotation"))
+
+
+def p2_found(spark, d):
+    return discover(_votes(spark, d)).labels.select("unit_id", "question", "label")
+
+
+def p2_reliability(spark, d):
+    return discover(_votes(spark, d)).annotators
+
+
+def p2_agreement(spark, d):
+    return agreement(_votes(spark, d))
+
+
 def p5_found(spark, d):
     return match_groups(read(spark, d, "researcher_developer_account_link"))
 
@@ -67,5 +84,5 @@ def p9_classes(spark, d):
     return look_classes(read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_best_record, p5_found, p6_found, p6_collapsed, p7_assignment, p7_fill, p8_found, p8_items, p8_cleaned, p9_found, p9_canonical, p9_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_best_record, p2_found, p2_reliability, p2_agreement, p5_found, p6_found, p6_collapsed, p7_assignment, p7_fill, p8_found, p8_items, p8_cleaned, p9_found, p9_canonical, p9_classes)}
 

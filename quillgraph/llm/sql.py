@@ -53,6 +53,23 @@ _RANKED = f"""
         {', '.join(f'row_number() OVER (PARTITION BY first_id ORDER BY {_whole(c)} DESC, {_ORDER}) AS rn_{c}' for c in _FIELDS)} FROM member_row)
 """
 
+
+
+def _label(c: str, labels: tuple[str, ...]) -> str:
+    letters = f"regexp_replace(lower({c}), '[^\\p{{L}}]', '', 'g')"
+    return f"(SELECT CASE WHEN count(*) = 1 THEN min(l) END FROM (SELECT unnest({list(labels)}) AS l) WHERE {letters} <> '' AND starts_with(l, {letters}))"
+
+
+def _votes() -> str:
+    parts = []
+    for q, labels, wide in (("contrib_type", ("code", "docs", "other"), "contrib-type"), ("is_actually_author", ("no", "unclear", "yes"), "is_actually_author")):
+        for who in ("eva", "nic"):
+            parts.append(f"SELECT u.unit_id, '{q}' AS question, '{who}' AS annotator, {_label(f'u."{who}-{wide}"', labels)} AS answer, TIMESTAMP '0001-01-01' AS told_at FROM cc_na_initial_unresolved_set u")
+        parts.append(f"SELECT a.unit_id, '{q}', a.annotator, {_label(f'a.{q}', labels)}, coalesce(a.labelled_datetime, TIMESTAMP '0001-01-01') FROM cc_na_annotation a")
+    rows = " UNION ALL ".join(parts)
+    return f"SELECT unit_id, question, annotator, answer FROM (SELECT *, row_number() OVER (PARTITION BY unit_id, question, annotator ORDER BY told_at DESC, answer DESC) AS rn FROM ({rows}) WHERE answer IS NOT NULL AND unit_id IS NOT NULL AND annotator IS NOT NULL) WHERE rn = 1"
+
+
 SQL = {
     "p1_found": f"WITH RECURSIVE {_GROUPS}, {_RANKED} SELECT first_id, id AS survivor_id FROM ranked WHERE rn = 1",
     "p1_best_record": f"""WITH RECURSIVE {_GROUPS}, {_RANKED}
@@ -77,4 +94,14 @@ SQL = {
     "p9_classes": f"""WITH c AS (SELECT doc_id, text, s4 FROM ({steps_sql('documents', 'text', 'doc_id, text')})),
         g AS (SELECT s4, min(doc_id) AS class_id, CAST(count(DISTINCT text) AS BIGINT) AS n_forms FROM c GROUP BY s4)
         SELECT doc_id, class_id, n_forms FROM c JOIN g USING (s4) WHERE n_forms > 1""",
+    "p2_agreement": f"""WITH v AS ({_votes()}),
+        m AS (SELECT question, unit_id, count(*) AS m FROM v GROUP BY ALL HAVING count(*) > 1),
+        l AS (SELECT v.question, v.unit_id, v.answer, count(*) AS n FROM v JOIN m USING (question, unit_id) GROUP BY ALL),
+        s AS (SELECT question, unit_id, sum(n * n) AS same FROM l GROUP BY ALL),
+        o AS (SELECT question, count(*) AS n_units, sum(m) AS n_answers, sum((m * m - same) / CAST(m - 1 AS DOUBLE)) AS apart FROM m JOIN s USING (question, unit_id) GROUP BY ALL),
+        c AS (SELECT question, sum(c * c) AS cc FROM (SELECT question, answer, sum(n) AS c FROM l GROUP BY ALL) GROUP BY ALL)
+        SELECT question, CAST(n_units AS BIGINT) AS n_units, CAST(n_answers AS BIGINT) AS n_answers, CAST(apart / n_answers AS DOUBLE) AS observed,
+            CAST((n_answers * n_answers - cc) / CAST(n_answers * (n_answers - 1) AS DOUBLE) AS DOUBLE) AS expected,
+            CAST(1 - (apart / n_answers) / ((n_answers * n_answers - cc) / CAST(n_answers * (n_answers - 1) AS DOUBLE)) AS DOUBLE) AS alpha
+        FROM o JOIN c USING (question)""",
 }
