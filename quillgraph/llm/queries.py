@@ -9,6 +9,7 @@ from quillgraph.llm.consensus import agreement, discover, votes
 from quillgraph.llm.formatting import collapse, copies
 from quillgraph.llm.leakage import decontaminate, leaks
 from quillgraph.llm.lookalikes import canonical_texts, look_classes, look_pairs
+from quillgraph.llm.matching import match_people
 from quillgraph.llm.packing import fill_containers, fill_report
 from quillgraph.llm.representatives import best_records, survivors
 from quillgraph.llm.sql import SQL  # noqa: F401
@@ -39,6 +40,14 @@ def p2_agreement(spark, d):
     return agreement(_votes(spark, d))
 
 
+def p3_found(spark, d):
+    return p3_confidence(spark, d).select("researcher_id", "developer_account_id")
+
+
+def p3_confidence(spark, d):
+    return match_people(read(spark, d, "researcher"), read(spark, d, "developer_account")).select("researcher_id", "developer_account_id", "confidence")
+
+
 def p5_found(spark, d):
     return match_groups(read(spark, d, "researcher_developer_account_link"))
 
@@ -84,5 +93,5 @@ def p9_classes(spark, d):
     return look_classes(read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_best_record, p2_found, p2_reliability, p2_agreement, p5_found, p6_found, p6_collapsed, p7_assignment, p7_fill, p8_found, p8_items, p8_cleaned, p9_found, p9_canonical, p9_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_best_record, p2_found, p2_reliability, p2_agreement, p3_found, p3_confidence, p5_found, p6_found, p6_collapsed, p7_assignment, p7_fill, p8_found, p8_items, p8_cleaned, p9_found, p9_canonical, p9_classes)}
 
