@@ -42,40 +42,39 @@ def clean_name(name: Column, compat: bool = False) -> Column:
     return F.replace(head, F.lit(".git"), F.lit("")) if compat else F.regexp_replace(head, "\\.git$", "")
 
 
-def _field(url: Column, host: str, field: str) -> Column:
-    """The field by the first form of the host that fits; null if none has it."""
-    out = F.lit(None).cast("string")
-    for form in reversed(FORMS[host]):
-        whole = pattern(form, "owner") or pattern(form, "repo")
-        got = F.regexp_extract(url, p, 1) if (p := pattern(form, field)) else F.lit(None).cast("string")
-        out = F.when(url.rlike(whole), got).otherwise(out)
-    return out
+def let(value: Column, body) -> Column:
+    """`body` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
 
 
 def parse_code_host(url: Column, compat: bool = False) -> Column:
     """struct<host, owner, name, error> of an address.
 
     Null, empty and blank addresses, and those of other hosts, have an error. All hosts but
-    SourceForge need an owner, SourceForge a name. `compat` keeps two known slips: every `.git` is
+    SourceForge need an owner, SourceForge a name. `compat` keeps a known slip: every `.git` is
     removed from a name, not only a final one.
     """
-    s = tidy_url(url)
-    fits = {h: F.lit(False) for h in FORMS}
-    for h, forms in FORMS.items():
-        for f in forms:
-            fits[h] = fits[h] | s.rlike(pattern(f, "owner") or pattern(f, "repo"))
-    host, owner, name = (F.lit(None).cast("string") for _ in range(3))
-    for h in FORMS:
-        owner = F.when(fits[h], _field(s, h, "owner")).otherwise(owner)
-        name = F.when(fits[h], _field(s, h, "repo")).otherwise(name)
-        host = F.when(fits[h], h).otherwise(host)
-    name = clean_name(name, compat)
-    usable = host.isNotNull() & F.when(host == "sourceforge", name.isNotNull()).otherwise(owner.isNotNull())
-    known = F.coalesce(usable & (F.length(s) > 1), F.lit(False))
-    return F.struct(
-        F.when(known, host).alias("host"), F.when(known, owner).alias("owner"), F.when(known, name).alias("name"),
-        F.when(~known, UNPARSED).alias("error"),
-    )
+    none = F.lit(None).cast("string")
+
+    def found(s: Column) -> Column:
+        hosts = []
+        for h, forms in FORMS.items():
+            fits = []
+            for f in forms:
+                own, rep = pattern(f, "owner"), pattern(f, "repo")
+                parts = F.struct(F.lit(h).alias("host"), (F.regexp_extract(s, own, 1) if own else none).alias("owner"), (F.regexp_extract(s, rep, 1) if rep else none).alias("name"))
+                fits.append(F.when(s.rlike(own or rep), parts))
+            hosts.append(F.coalesce(*fits))
+        return F.coalesce(*reversed(hosts))
+
+    def result(p: Column) -> Column:
+        known = F.coalesce(F.when(p["host"] == "sourceforge", p["name"].isNotNull()).otherwise(p["owner"].isNotNull()), F.lit(False))
+        return F.struct(
+            F.when(known, p["host"]).alias("host"), F.when(known, p["owner"]).alias("owner"), F.when(known, clean_name(p["name"], compat)).alias("name"),
+            F.when(~known, UNPARSED).alias("error"),
+        )
+
+    return let(let(tidy_url(url), found), result)
 
 
 def split_pairs(pairs: DataFrame, url: str = "repo_url", compat: bool = False) -> tuple[DataFrame, DataFrame]:
