@@ -2,51 +2,71 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A key is hot if it holds more than this share of the rows; so there are fewer than 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 200
+#: And more rows than this: fewer are no burden for a task, whatever their share.
+HOT_ROWS = 10_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], total: int, share: float = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than `share` of the `total` rows of `df`, counted exactly.
+def hot_keys(df: DataFrame, keys: list[str], total: int, share: float = HOT_SHARE, rows: int = HOT_ROWS) -> DataFrame:
+    """Keys that hold more than `share` of the `total` rows of `df`, and more than `rows`, counted exactly.
 
     Counts are combined before the shuffle. At most 1/share rows come out whatever the data,
     which is the bound that allows to broadcast them. Null keys are never hot.
     """
     counts = df.na.drop(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return counts.where(F.col("_rows") > F.lit(max(1.0, total * share))).drop("_rows")
+    return counts.where(F.col("_rows") > F.lit(max(float(rows), total * share))).drop("_rows")
+
+
+_UNKNOWN = object()
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", *, total: int | None = None, share: float = HOT_SHARE, hot: DataFrame | None = None) -> DataFrame:
+def known_hot(df: DataFrame, keys: list[str], total: int | None = None, share: float = HOT_SHARE, rows: int = HOT_ROWS) -> DataFrame | None:
+    """The hot keys of `df` as a table in the driver, or None if there is none.
+
+    Fewer than 1/share keys exist, so fewer are fetched; joins with them then need no second count.
+    """
+    total = df.count() if total is None else total
+    if total <= rows:
+        return None
+    found = hot_keys(df, keys, total, share, rows)
+    held = found.collect()
+    return df.sparkSession.createDataFrame(held, found.schema) if held else None
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", *, total: int | None = None, share: float = HOT_SHARE, rows: int = HOT_ROWS, hot=_UNKNOWN) -> DataFrame:
     """Join of `left` to `right`, where `right` has one row a key and `how` is inner, left, left_semi or left_anti.
 
     Rows of hot keys meet their (fewer than 1/share) right rows in a broadcast, so no task gets a
     hot key; all other keys are joined by one shuffle. Rows of `left` whose key is null stay as an
     ordinary join has them (kept by left and left_anti), without being sent to one partition. `hot`
-    may hold the hot keys of `left`, as `hot_keys` gives them, where they are known from before.
+    may hold the hot keys of `left`, as `known_hot` gives them; else they are counted first.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(how)
-    if hot is None:
-        hot = hot_keys(left, keys, left.count() if total is None else total, share)
+    if hot is _UNKNOWN:
+        hot = known_hot(left, keys, total, share, rows)
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()
-    some, none = left.where(known), left.where(~known)
-    hot_right = right.join(F.broadcast(hot), keys, "left_semi")
-    parts = [
-        some.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(hot_right), keys, how),
-        some.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how),
-    ]
-    if how in ("left", "left_anti"):
+    some = left.where(known)
+    if hot is None:
+        parts = [some.join(right, keys, how)]
+    else:
+        hot_right = right.join(F.broadcast(hot), keys, "left_semi")
+        parts = [
+            some.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(hot_right), keys, how),
+            some.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how),
+        ]
+    if how in ("left", "left_anti") and any(left.schema[k].nullable for k in keys):
         extra = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name not in keys] if how == "left" else []
-        parts.append(none.select(*(F.col(c) for c in [*keys, *(c for c in left.columns if c not in keys)]), *extra))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        parts.append(left.where(~known).select(*(F.col(c) for c in [*keys, *(c for c in left.columns if c not in keys)]), *extra))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
