@@ -43,10 +43,10 @@ def components(edges: DataFrame, stage: Stage | None = None) -> DataFrame:
         told = stage.save(told.distinct())
         n_told = told.count()
         chosen = told.groupBy("u").agg(F.min("least").alias("parent"), F.max((F.col("least") == F.col("u")).cast("int")).alias("stays"), F.count(F.lit(1)).alias("n"))
-        forest.append(stage.save(chosen.where("stays = 0").select("u", "parent")))
+        forest.append(chosen.where("stays = 0").select("u", "parent"))
         joined = skew_join(told, chosen.where("n > 1").select("u", "parent"), ["u"], total=n_told).where("least <> parent").select(F.col("least").alias("u"), F.col("parent").alias("v"))
         step = stage.save(joined.union(joined.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-        stage.drop(graph, told)
+        stage.drop(graph)  # what was told stays: the forest is read from it
         graph = step
     dropped = [t.select(F.col("u").alias("node")) for t in forest]
     seeds = nodes if not dropped else nodes.join(reduce(DataFrame.union, dropped), "node", "left_anti")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.operators.skew import hot_keys, skew_join
+from quillgraph.operators.skew import known_hot, skew_join
 from quillgraph.runtime import Stage
 
 # The tidy labels of each question.
@@ -112,8 +112,8 @@ def discover(answers: DataFrame, labels: dict[str, list[str]] | None = None, *,
     number = reduce(lambda w, x: w.when((F.col("question") == x[0]) & (F.col("answer") == x[1][1]), x[1][0]), ((q, e) for q, ls in labels.items() for e in enumerate(ls)), F.when(F.lit(False), -1))
     rows = stage.save(answers.select("unit_id", "question", "annotator", number.cast("int").alias("answer")).na.drop())
     total = rows.count()
-    hot_units = stage.save(hot_keys(rows, ["unit_id", "question"], total))
-    hot_voices = stage.save(hot_keys(rows, ["question", "annotator", "answer"], total))
+    hot_units = known_hot(rows, ["unit_id", "question"], total)
+    hot_voices = known_hot(rows, ["question", "annotator", "answer"], total)
     even = -F.log(F.lit(0.3 / (k - 1)))
     dist = rows.select("question", "annotator", "answer").distinct().select("*", *(F.when(F.col("answer") == t, -F.log(F.lit(0.7))).otherwise(even).alias(f"d{t}") for t in range(k)))
     prior = rows.select("question").distinct().select("question", *(F.lit(0.0).alias(f"b{t}") for t in range(k)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.keys import tidy_reference
-from quillgraph.operators.skew import HOT_SHARE, hot_keys
+from quillgraph.operators.skew import HOT_ROWS, HOT_SHARE, hot_keys
 from quillgraph.runtime import Stage
 
 
@@ -17,10 +17,10 @@ def canonical(pairs: DataFrame, id: str = "raw_id", fields: tuple[str, str] = ("
     return both.select("id", F.concat_ws(" ", F.least("a", "b"), F.greatest("a", "b")).alias("key"))
 
 
-def _split(pairs: DataFrame, id: str, fields: tuple[str, str], share: float):
+def _split(pairs: DataFrame, id: str, fields: tuple[str, str], share: float, rows_: int):
     stage = Stage(pairs.sparkSession)
     rows = stage.save(canonical(pairs, id, fields))
-    hot = stage.save(hot_keys(rows, ["key"], rows.count(), share))
+    hot = stage.save(hot_keys(rows, ["key"], rows.count(), share, rows_))
     hot = F.broadcast(hot)  # fewer than 1/share rows by its definition
     return rows, rows.join(hot, "key", "left_semi"), rows.join(hot, "key", "left_anti")
 
@@ -31,17 +31,17 @@ def _hot_groups(rows: DataFrame, salts: int) -> DataFrame:
     return part.groupBy("key").agg(F.sum("n").alias("n_copies"), F.min("least").alias("group_id"))
 
 
-def collapse(pairs: DataFrame, id: str = "raw_id", fields: tuple[str, str] = ("repo_url", "paper_doi"), *, share: float = HOT_SHARE, salts: int = 64) -> DataFrame:
+def collapse(pairs: DataFrame, id: str = "raw_id", fields: tuple[str, str] = ("repo_url", "paper_doi"), *, share: float = HOT_SHARE, rows: int = HOT_ROWS, salts: int = 64) -> DataFrame:
     """One row a distinct pair: (group_id, n_copies, key); `group_id` is its least id.
 
     Hot keys, counted exactly, are salted and aggregated on two levels; all others on one.
     """
-    _, hot, rest = _split(pairs, id, fields, share)
+    _, hot, rest = _split(pairs, id, fields, share, rows)
     cold = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n_copies"), F.min("id").alias("group_id"))
     return _hot_groups(hot, salts).unionByName(cold).select("group_id", "n_copies", "key")
 
 
-def copies(pairs: DataFrame, id: str = "raw_id", fields: tuple[str, str] = ("repo_url", "paper_doi"), *, share: float = HOT_SHARE, salts: int = 64) -> DataFrame:
+def copies(pairs: DataFrame, id: str = "raw_id", fields: tuple[str, str] = ("repo_url", "paper_doi"), *, share: float = HOT_SHARE, rows: int = HOT_ROWS, salts: int = 64) -> DataFrame:
     """(group_id, raw_id) of every row that has at least one copy, the first included.
 
     Rows are copies if both fields name the same things apart from letter case, white space and
@@ -57,7 +57,7 @@ def copies(pairs: DataFrame, id: str = "raw_id", fields: tuple[str, str] = ("rep
     broadcast back to their rows. All other keys take one shuffle, which brings the rows of a key
     together for a window.
     """
-    _, hot, rest = _split(pairs, id, fields, share)
+    _, hot, rest = _split(pairs, id, fields, share, rows)
     groups = _hot_groups(hot, salts).where("n_copies > 1").select("key", "group_id")
     w = Window.partitionBy("key")
     cold = rest.select("id", F.min("id").over(w).alias("group_id"), F.count(F.lit(1)).over(w).alias("n")).where("n > 1")
