@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillgraph.llm.leakage import WORDS, words_sql
 from quillgraph.llm.lookalikes import steps_sql
 
 _OPEN = "<(\\[{\"''`“”‘’«"
@@ -70,7 +71,17 @@ def _votes() -> str:
     return f"SELECT unit_id, question, annotator, answer FROM (SELECT *, row_number() OVER (PARTITION BY unit_id, question, annotator ORDER BY told_at DESC, answer DESC) AS rn FROM ({rows}) WHERE answer IS NOT NULL AND unit_id IS NOT NULL AND annotator IS NOT NULL) WHERE rn = 1"
 
 
+def _grams(table: str, id: str, joints: tuple[str, ...]) -> str:
+    lists = " UNION ALL ".join(f"SELECT {id}, list_filter(words, lambda w: w <> '') AS l FROM ({words_sql(table, id, j)})" for j in joints)
+    return f"SELECT DISTINCT {id}, unnest(list_transform(range(1, len(l) - {WORDS - 2}), lambda i: array_to_string(list_slice(l, i, i + {WORDS - 1}), ' '))) AS gram FROM ({lists})"
+
+
+# Texts with a broken word are read with all of them joined and all apart.
+_LEAKS = f"SELECT DISTINCT doc_id, item_id FROM ({_grams('documents', 'doc_id', ('', ' '))}) JOIN ({_grams('eval_item', 'item_id', ('',))}) USING (gram)"
+
 SQL = {
+    "p8_found": _LEAKS,
+    "p8_items": f"SELECT item_id, CAST(count(*) AS BIGINT) AS n_documents FROM ({_LEAKS}) GROUP BY 1",
     "p1_found": f"WITH RECURSIVE {_GROUPS}, {_RANKED} SELECT first_id, id AS survivor_id FROM ranked WHERE rn = 1",
     "p1_best_record": f"""WITH RECURSIVE {_GROUPS}, {_RANKED}
         SELECT first_id, max(id) FILTER (WHERE rn = 1) AS survivor_id, max(doi) FILTER (WHERE rn = 1) AS doi, CAST(count(*) AS BIGINT) AS n_members,
