@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.lookalikes import INVISIBLE, LIGATURES, connect, steps_sql, table
+from quillgraph.llm.lookalikes import INVISIBLE, LIGATURES, connect, slices, steps_sql, table
 from quillgraph.runtime import Stage
 
 #: Consecutive words of an item that make a leak.
@@ -153,8 +153,8 @@ def _each_block(documents: DataFrame, items: DataFrame, item_id: str, item_text:
             con, grams = connect(), shared.value
             values = pa.array(grams.words, pa.string())
             for b in batches:
-                if b.num_rows:
-                    yield from job(con, grams, values, b)
+                for part in slices(b):
+                    yield from job(con, grams, values, part)
 
         parts.append(documents.mapInArrow(run, schema))
     return reduce(DataFrame.unionByName, parts) if parts else documents.sparkSession.createDataFrame([], schema)
@@ -254,9 +254,9 @@ def decontaminate(documents: DataFrame, items: DataFrame, *, remove: str = "span
         def run(batches, shared=shared):
             con, grams = connect(), shared.value
             values = pa.array(grams.words, pa.string())
-            for b in batches:
+            for b in (part for whole in batches for part in slices(whole)):
                 texts = b.column(1)
-                hit = {r for r, _ in _scan(con, grams, values, pc.fill_null(texts, ""))} if b.num_rows else set()
+                hit = {r for r, _ in _scan(con, grams, values, pc.fill_null(texts, ""))}
                 if not hit:
                     yield b
                     continue

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm.lookalikes import slices
+
 CAPACITY = 2048
 #: Vocabulary of a public byte-level tokenizer, as ranks.
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -174,7 +176,7 @@ def fill_containers(documents: DataFrame, *, capacity: int = CAPACITY, ranks: st
             cols[0] = [None if c is None else at + c for c in cols[0]]
             return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, OUT)], schema=OUT)
 
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids.append(i)
                 tokens.append(np.array(enc.encode_ordinary(t), np.uint32) if t else np.zeros(0, np.uint32))

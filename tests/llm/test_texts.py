@@ -42,6 +42,16 @@ def test_canonical_keeps_what_shows(spark):
     assert got[0] is None and got[1] == "" and got[2] == "Zeile eins\t\n" * 50_000 and got[3] == "A B² fin"
 
 
+def test_slices_lose_nothing():
+    import pyarrow as pa
+
+    texts = ["a" * n for n in (5, 0, 30, 1, 1, 1)] + [None, "b"]
+    b = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts, pa.string())], ["id", "text"])
+    parts = [p.column(1).to_pylist() for p in lookalikes.slices(b, most=7)]
+    assert [t for p in parts for t in p] == texts and parts[:2] == [["a" * 5, ""], ["a" * 30]]
+    assert list(lookalikes.slices(b.slice(0, 0))) == []
+
+
 def test_skipping_nfc_changes_nothing():
     import regex
 
