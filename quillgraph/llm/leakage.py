@@ -19,7 +19,7 @@ from quillgraph.runtime import Stage
 #: Consecutive words of an item that make a leak.
 WORDS = 10
 #: Characters of item text whose n-grams are broadcast at once; a larger set is searched in blocks of about this size.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_000_000
 
 _BREAK = f"[-\\x{{2010}}\\x{{2011}}\\x{{FF0D}}\\x{{AD}}][{INVISIBLE}]*[ \\t]*\\r?\\n[ \\t>|]*"
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
