@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from quillgraph.operators.skew import known_hot, skew_join
 from quillgraph.runtime import Stage
 
-#: A term in more persons than this is hot: it adds to scores, but finds no candidates of its own.
-HOT_DF = 100
 #: Gaps between the best and the second score count up to this.
 GAP_CAP = 12.0
 #: A person's nearest accounts that pass the mutual test.
@@ -76,10 +74,9 @@ def _less(word: str) -> set[str]:
     return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))} if len(word) > 4 else {word}
 
 
-def person_terms(name: str | None) -> set[str]:
+def name_terms(given: str, last: str) -> set[str]:
     """Index terms: both names (n:), joined in either order, whole or as initial (k:), and initial with
     each form of the surname that lacks one letter (e:)."""
-    given, last = person(name)
     if not last:
         return set()
     terms = {f"n:{last}"}
@@ -170,17 +167,53 @@ def _term_rows(schema: pa.Schema, make):
     return run
 
 
+def person_keys(given: str, last: str) -> set[str]:
+    """Keys under which every account is found that some attribute ties to initial and surname at least."""
+    if not given or not last:
+        return set()
+    first = given[0]
+    keys = {f"k:{w}" for w in (given + last, last + given, first + last, last + first)} | {f"f:{given}|{w}" for w in _less(last)}
+    return keys | ({f"g:{first}|{w}" for w in _less(last)} if len(given) > 1 else {f"i:{given}|{last}"})
+
+
+def account_keys(u: list[str], n: list[str], m: list[str], prose: bool) -> set[str]:
+    """The counterpart of `person_keys`, one kind of key for each way in which `says` and `_checked` come to
+    INITIAL or FULL: one word of both names (k:), of a lone initial and what may be a surname (i:), two words (f:, and
+    g: where the account has the initial), a given name as the name and a surname inside a handle (f:)."""
+    keys = set()
+    for parts in (u, n, m):
+        slips = prose and parts is n
+        if len(parts) == 1:
+            p = parts[0]
+            keys.add(f"k:{p}")
+            keys |= {f"i:{p[0]}|{p[j:]}" for j in range(len(p))} | {f"i:{p[j]}|{p[:j]}" for j in range(1, len(p))}
+        for i, x in enumerate(parts):
+            for j, y in enumerate(parts):
+                if i != j:
+                    for w in _less(y) if slips else {y}:
+                        keys |= {f"f:{x}|{w}", f"f:{x[0]}|{w}"} | ({f"g:{x}|{w}"} if len(x) == 1 else set())
+    whole = [p for p in n if len(p) > 1]
+    if len(whole) == 1 and len(n) <= 2:
+        initial = "".join(p for p in n if len(p) == 1)
+        keys |= {f"f:{whole[0]}|{p[i:j]}" for p in u + m for i in range(len(p)) if p[i].startswith(initial) for j in range(i + 1, len(p) + 1)}
+    return keys
+
+
 def candidates(persons: DataFrame, accounts: DataFrame, stage: Stage) -> DataFrame:
-    """(account, person, score, score_handle, hot): BM25 over all attributes of every pair that can be best.
+    """(account, person, n, score, score_handle): BM25 over all attributes of every pair that can be eligible.
 
-    Exactness of the pruning: each term stands once in a person's entry and length is not normalised
-    (b = 0), so a term adds its inverse document frequency. Persons found by a hot term only are more
-    than HOT_DF equals, hence none of them can win by a gap. Who shares one name only is never
-    eligible, and who shares two shares a joined term; so `hot`, the sum of the hot joined terms and
-    the best name (0 without hot joined terms), bounds the score of every eligible person not found.
+    Persons of one given name and surname have the same terms, scores and levels, so they are one row,
+    under the smallest id, with their number `n`; document frequencies count persons. Each term stands
+    once in a person's entry and length is not normalised (b = 0), so a term adds its inverse document
+    frequency. Pairs are found by `person_keys`, which hold both names, whatever the frequency of
+    the name: no eligible person is left out, and what grows is the number of different given names only.
     """
-    index = _term_rows(pa.schema([("person", pa.int64()), ("term", pa.string())]), lambda i, n: [(i, t) for t in sorted(person_terms(n))])
-    postings = stage.save(persons.mapInArrow(index, "person long, term string"))
+    split = _term_rows(pa.schema([("person", pa.int64()), ("given", pa.string()), ("last", pa.string())]), lambda i, n: [(i, *person(n))])
+    named = persons.select("id", "name").mapInArrow(split, "person long, given string, last string").where("last <> ''")
+    people = stage.save(named.groupBy("given", "last").agg(F.min("person").alias("person"), F.count(F.lit(1)).alias("n")))
+    schema = pa.schema([("person", pa.int64()), ("n", pa.int64()), ("term", pa.string())])
+    index = _term_rows(schema, lambda i, n, given, last: [(i, n, t) for t in sorted(name_terms(given, last))])
+    postings = stage.save(people.select("person", "n", "given", "last").mapInArrow(index, "person long, n long, term string"))
 
     def queries(i, username, name, email):
         u, n, m = _attributes(username, name, email)
@@ -191,37 +224,36 @@ def candidates(persons: DataFrame, accounts: DataFrame, stage: Stage) -> DataFra
     asked = _term_rows(pa.schema([("account", pa.int64()), ("term", pa.string()), ("handle", pa.bool_())]), queries)
     wanted = stage.save(accounts.mapInArrow(asked, "account long, term string, handle boolean"))
     n_persons = persons.count()
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = postings.groupBy("term").agg(F.sum("n").alias("df"))
     idf = F.log(1 + (F.lit(float(n_persons)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = stage.save(df.select("term", "df", idf.alias("idf")))
+    weights = stage.save(df.select("term", idf.alias("idf")))
     hot_asked = known_hot(wanted, ["term"])
     weighted = stage.save(skew_join(wanted, weights, ["term"], hot=hot_asked))
-    # Forms for a slip are of use only where the surname as it is written is unknown.
-    rare = weighted.where(F.col("df") <= HOT_DF)
-    bound = weighted.where((F.col("df") > HOT_DF) & ~F.col("term").startswith("n:")).groupBy("account").agg(F.sum("idf").alias("joint"))
-    names = weighted.where(F.col("term").startswith("n:")).groupBy("account").agg(F.max("idf").alias("single"))
-    bound = bound.join(names, "account", "left").select("account", (F.col("joint") + F.coalesce("single", F.lit(0.0))).alias("hot"))
-    rare_postings = postings.join(weights.where(F.col("df") <= HOT_DF).select("term"), "term", "left_semi")
-    found = rare.select("account", "term").join(rare_postings, "term").select("account", "person").distinct()
+    # All keys of a person, and of an account, that can make an eligible pair.
+    keys = lambda i, given, last: [(i, k) for k in sorted(person_keys(given, last))]
+    asks = lambda i, username, name, email: [(i, k) for k in sorted(account_keys(*_attributes(username, name, email), not re.search(r"\d", name or "")))]
+    key_rows = lambda side, make: _term_rows(pa.schema([(side, pa.int64()), ("key", pa.string())]), make)
+    person_side = stage.save(people.select("person", "given", "last").mapInArrow(key_rows("person", keys), "person long, key string"))
+    account_side = stage.save(accounts.mapInArrow(key_rows("account", asks), "account long, key string"))
+    found = skew_join(account_side, person_side, ["key"], hot=known_hot(account_side, ["key"])).select("account", "person").distinct()
     found = stage.save(found)
     # All terms of an account and of a person are few; the score of a pair is their common part.
     terms = weighted.groupBy("account").agg(F.collect_list(F.struct("term", "idf", "handle")).alias("asked"))
-    entries = postings.groupBy("person").agg(F.collect_list("term").alias("entry"))
+    entries = postings.groupBy("person").agg(F.first("n").alias("n"), F.collect_list("term").alias("entry"))
     pairs = found.join(terms, "account").join(entries, "person")
     common = F.filter("asked", lambda t: F.array_contains(F.col("entry"), t["term"]))
     # One slip shares several forms: they count once, with the best.
     once = lambda rows: F.aggregate(F.filter(rows, lambda t: ~t["term"].startswith("e:")), F.lit(0.0), lambda s, t: s + t["idf"]) + F.coalesce(F.array_max(F.transform(F.filter(rows, lambda t: t["term"].startswith("e:")), lambda t: t["idf"])), F.lit(0.0))
-    scored = pairs.select("account", "person", once(common).alias("score"), once(F.filter(common, lambda t: t["handle"])).alias("score_handle"))
-    return stage.save(scored.join(bound, "account", "left").na.fill(0.0, ["hot"]))
+    return stage.save(pairs.select("account", "person", "n", once(common).alias("score"), once(F.filter(common, lambda t: t["handle"])).alias("score_handle")))
 
 
 def _checked(pairs: DataFrame, persons: DataFrame, accounts: DataFrame) -> DataFrame:
     """The pairs with `level` and `level_name`, `level_handle`: what all attributes, the name, the handles say."""
     wide = pairs.join(persons.withColumnRenamed("id", "person").withColumnRenamed("name", "person_name"), "person").join(accounts.withColumnRenamed("id", "account"), "account")
-    wide = wide.select("account", "person", "score", "score_handle", "hot", "person_name", "username", "name", "email")
-    out = pa.schema([("account", pa.int64()), ("person", pa.int64()), ("score", pa.float64()), ("score_handle", pa.float64()), ("hot", pa.float64()), ("level", pa.int32()), ("level_name", pa.int32()), ("level_handle", pa.int32())])
+    wide = wide.select("account", "person", "n", "score", "score_handle", "person_name", "username", "name", "email")
+    out = pa.schema([("account", pa.int64()), ("person", pa.int64()), ("n", pa.int64()), ("score", pa.float64()), ("score_handle", pa.float64()), ("level", pa.int32()), ("level_name", pa.int32()), ("level_handle", pa.int32())])
 
-    def check(account, person_, score, score_handle, hot, person_name, username, name, email):
+    def check(account, person_, n_same, score, score_handle, person_name, username, name, email):
         given, last = person(person_name)
         u, n, m = _attributes(username, name, email)
         # A name with digits is a handle that stands in the wrong field.
@@ -232,9 +264,9 @@ def _checked(pairs: DataFrame, persons: DataFrame, accounts: DataFrame) -> DataF
         both = CONFLICT if CONFLICT in (named, handle) else max(named, handle)
         if both == ONE and len(given) > 1 and given in n and any(last in p for p in u + m):
             both = FULL
-        return [(account, person_, score, score_handle, hot, both, named, handle)]
+        return [(account, person_, n_same, score, score_handle, both, named, handle)]
 
-    return wide.mapInArrow(_term_rows(out, check), "account long, person long, score double, score_handle double, hot double, level int, level_name int, level_handle int")
+    return wide.mapInArrow(_term_rows(out, check), "account long, person long, n long, score double, score_handle double, level int, level_name int, level_handle int")
 
 
 def _logistic(rows: np.ndarray) -> tuple[float, float]:
@@ -258,7 +290,7 @@ def match_people(persons: DataFrame, accounts: DataFrame, *, least_confidence: f
     `persons` has (id, name), `accounts` (id, username, name, email). An account's nearest person is
     the best by BM25 over the terms of all attributes among those whom no attribute contradicts (a
     different given name, another initial) and with whom at least initial and surname agree. The gap to the next
-    eligible person, or to the bound for unread hot terms, gives the confidence through a logistic curve
+    eligible person gives the confidence through a logistic curve
     that is fitted on the accounts that have both a name and a telling handle: what the handles alone
     would find is held against the name (at most SAMPLE rows, the first by hash). The pair must be
     mutual: the account is among the NEAREST accounts of the person, as people may have several.
@@ -267,8 +299,8 @@ def match_people(persons: DataFrame, accounts: DataFrame, *, least_confidence: f
     matches nobody; namesakes tie, so none of them is matched; repeated rows of one id count once;
     ties of accounts go to the smaller id; empty tables give no rows; further columns are ignored.
 
-    Scale: terms are joined by term, with hot ones left out of the candidate search as they can't decide;
-    nothing but the bounded sample and counts reaches the driver.
+    Scale: candidates are joined by keys of both names, hot keys by broadcast, over different names rather than
+    persons; nothing but the bounded sample, hot keys and counts reaches the driver.
     """
     stage = Stage(persons.sparkSession)
     persons = stage.save(persons.select(F.col("id").cast("long").alias("id"), "name").where("id is not null").dropDuplicates(["id"]))
@@ -277,8 +309,9 @@ def match_people(persons: DataFrame, accounts: DataFrame, *, least_confidence: f
 
     def ranked(rows: DataFrame, score: str) -> DataFrame:
         w = Window.partitionBy("account").orderBy(F.col(score).desc(), F.col("person"))
-        rows = rows.withColumn("rank", F.row_number().over(w)).withColumn("next", F.lead(score).over(w)).where("rank = 1")
-        gap = F.least(F.col(score) - F.greatest(F.coalesce("next", F.lit(0.0)), F.col("hot")), F.lit(GAP_CAP))
+        second = F.when(F.col("n") > 1, F.col(score)).otherwise(F.coalesce(F.lead(score).over(w), F.lit(0.0)))
+        rows = rows.withColumn("rank", F.row_number().over(w)).withColumn("next", second).where("rank = 1")
+        gap = F.least(F.col(score) - F.col("next"), F.lit(GAP_CAP))
         return rows.withColumn("gap", F.greatest(gap, F.lit(0.0)))
 
     trial = ranked(checked.where(f"level_handle >= {INITIAL}"), "score_handle").where(f"level_name = {CONFLICT} or level_name >= {INITIAL}")

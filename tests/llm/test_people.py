@@ -100,6 +100,33 @@ def test_hot_terms_are_no_candidates_but_count(spark):
     assert rows(matching.match_people(p, a, least_confidence=0.0).select("researcher_id", "developer_account_id")) == [(1, 1)]
 
 
+def test_a_frequent_initial_and_surname_hides_nobody(spark):
+    given = ["J" + a + b for a in "abcdefghijklm" for b in "nopqrstuvwxy"]
+    p = spark.createDataFrame([(i, f"{g} Hollander") for i, g in enumerate(given)] + [(1000 + i, f"Jonas Samesame{'abc'[i % 3]}") for i in range(150)] + [(2000 + i, f"Fill Er{'abcdefghijklmnopqrstuvwxyz'[i % 26]}on{i // 26 * 'x'}") for i in range(2600)], "id long, name string")
+    a = spark.createDataFrame([(1, "q1", f"{given[7]} Hollander", None), (2, "jhollander", None, None), (3, "q3", "Jonas Samesamea", None), (4, "hollander-77", given[9], None)], "id long, username string, name string, email string")
+    out = matching.match_people(p, a, least_confidence=0.0)
+    assert rows(out.select("researcher_id", "developer_account_id")) == [(7, 1), (9, 4)]
+
+
+def test_every_eligible_pair_is_found(spark):
+    r = random.Random(4)
+    given, last = ["ann", "anna", "j", "jo", "maria", ""], ["bell", "marie", "gruniemau", "li", "b"]
+    slip = lambda w: w[: (i := r.randrange(len(w)))] + r.choice(["", "x", w[i] * 2]) + w[i + 1 :] if w and r.random() < 0.3 else w
+    people = [(i, f"{g} {n}".strip()) for i, (g, n) in enumerate((g, n) for g in given for n in last)]
+
+    def field():
+        g, n = slip(r.choice(given)), slip(r.choice(last))
+        return r.choice([None, "", f"{g} {n}", f"{n}, {g}", g + n, f"{g[:1]} {n}", f"{g[:1]}{n}", f"{n}{g[:1]}", g, n, f"x{n}", f"{g} {n[:1]}", f"{g}{r.choice('abc')}{n}", f"{g} {r.choice(given)} {n}", f"{g}-{n}7"])
+
+    accounts = [(i, field(), field(), f"{(field() or '').replace(' ', '.')}@mail.example") for i in range(800)]
+    p, a = spark.createDataFrame(people, "id long, name string"), spark.createDataFrame(accounts, "id long, username string, name string, email string")
+    every = p.selectExpr("id as person").crossJoin(a.selectExpr("id as account")).selectExpr("account", "person", "1L as n", "0D as score", "0D as score_handle")
+    want = {(x["account"], x["person"]) for x in matching._checked(every, p, a).where(f"level >= {matching.INITIAL} or level_handle >= {matching.INITIAL}").collect()}
+    keys = {i: matching.person_keys(*matching.person(n)) for i, n in people}
+    ask = {i: matching.account_keys(*matching._attributes(u, n, m), not any(c.isdigit() for c in n or "")) for i, u, n, m in accounts}
+    assert len(want) > 500 and [x for x in want if not ask[x[0]] & keys[x[1]]] == []
+
+
 @pytest.mark.parametrize(("parts", "person", "prose", "level"), [
     (["ann", "bell"], ("ann", "bell"), True, matching.FULL), (["a", "bell"], ("ann", "bell"), True, matching.INITIAL), (["ada", "bell"], ("ann", "bell"), True, matching.CONFLICT), (["annbell"], ("ann", "bell"), False, matching.FULL),
     (["abell"], ("ann", "bell"), False, matching.INITIAL), (["xbell"], ("ann", "bell"), False, matching.CONFLICT), (["rusty", "newt"], ("ann", "bell"), False, matching.NOTHING), (["ann", "grunimeau"], ("ann", "gruniemau"), True, matching.FULL), ([], ("ann", "bell"), True, matching.NOTHING),
