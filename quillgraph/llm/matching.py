@@ -17,8 +17,6 @@ from quillgraph.runtime import Stage
 
 #: Gaps between the best and the second score count up to this.
 GAP_CAP = 12.0
-#: A person's nearest accounts that pass the mutual test.
-NEAREST = 2
 #: Rows of the sample the calibration is fitted on, at most.
 SAMPLE = 20_000
 # Coefficients where the sample can't be fitted (fewer than 50 rows or one outcome only).
@@ -292,8 +290,8 @@ def match_people(persons: DataFrame, accounts: DataFrame, *, least_confidence: f
     different given name, another initial) and with whom at least initial and surname agree. The gap to the next
     eligible person gives the confidence through a logistic curve
     that is fitted on the accounts that have both a name and a telling handle: what the handles alone
-    would find is held against the name (at most SAMPLE rows, the first by hash). The pair must be
-    mutual: the account is among the NEAREST accounts of the person, as people may have several.
+    would find is held against the name (at most SAMPLE rows, the first by hash). Every account
+    that passes is its nearest person's, however many that person has: the number of others says nothing against one.
 
     Defined cases: null or empty attributes say nothing; a record with no name and no telling handle
     matches nobody; namesakes tie, so none of them is matched; repeated rows of one id count once;
@@ -319,8 +317,6 @@ def match_people(persons: DataFrame, accounts: DataFrame, *, least_confidence: f
     a, b = _logistic(np.array([tuple(r) for r in sample.collect()], float).reshape(-1, 2))
     best = ranked(checked.where(f"level >= {INITIAL}"), "score")
     best = best.withColumn("confidence", 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("gap")))))
-    near = Window.partitionBy("person").orderBy(F.col("level").desc(), F.col("score").desc(), F.col("account"))
-    mutual = best.withColumn("place", F.row_number().over(near)).where(F.col("place") <= NEAREST)
-    return mutual.where((F.col("gap") > 0) & (F.col("confidence") >= least_confidence)).select(
+    return best.where((F.col("gap") > 0) & (F.col("confidence") >= least_confidence)).select(
         F.col("person").alias("researcher_id"), F.col("account").alias("developer_account_id"), "confidence", "score", "gap", "level"
     )

@@ -108,6 +108,12 @@ def test_a_frequent_initial_and_surname_hides_nobody(spark):
     assert rows(out.select("researcher_id", "developer_account_id")) == [(7, 1), (9, 4)]
 
 
+def test_a_person_may_have_many_accounts(spark):
+    p = spark.createDataFrame([(1, "Harena Vegrozor"), (2, "Tothune Husadenas")], "id long, name string")
+    a = spark.createDataFrame([(i, f"q{i}", "Harena Vegrozor", None) for i in range(5)] + [(9, "hvegrozor", None, None)], "id long, username string, name string, email string")
+    assert rows(matching.match_people(p, a, least_confidence=0.0).select("researcher_id", "developer_account_id")) == [(1, i) for i in (0, 1, 2, 3, 4, 9)]
+
+
 def test_every_eligible_pair_is_found(spark):
     r = random.Random(4)
     given, last = ["ann", "anna", "j", "jo", "maria", ""], ["bell", "marie", "gruniemau", "li", "b"]
