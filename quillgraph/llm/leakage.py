@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 
@@ -25,10 +24,11 @@ _BREAK = f"[-\\x{{2010}}\\x{{2011}}\\x{{FF0D}}\\x{{AD}}][{INVISIBLE}]*[ \\t]*\\r
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words_sql(source: str, keep: str, joint: str) -> str:
+def words_sql(source: str, keep: str, joint: str | None) -> str:
     """SQL of (keep, words): runs of letters and digits of the folded `text`, with `joint` between the
-    two parts of a word that a hyphen broke at a line end."""
-    whole = f"(SELECT {keep}, regexp_replace(text, '{_BREAK}', '{joint}', 'g') AS tx FROM {source})"
+    two parts of a word that a hyphen broke at a line end (None: no such parts are looked for)."""
+    tx = "text" if joint is None else f"regexp_replace(text, '{_BREAK}', '{joint}', 'g')"
+    whole = f"(SELECT {keep}, {tx} AS tx FROM {source})"
     return f"SELECT {keep}, string_split_regex(s4, '[^\\p{{L}}\\p{{M}}\\p{{N}}]+') AS words FROM ({steps_sql(whole, 'tx', keep, any_case=True)}) ORDER BY {keep}"
 
 
@@ -82,23 +82,24 @@ def _flat(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     return values.filter(full), kept[offsets[1:] - offsets[0]]
 
 
-def _words(con, rows: pa.Table, joint: str) -> pa.ListArray:
+def _words(con, rows: pa.Table, joint: str | None) -> pa.ListArray:
     con.register("rows_", rows)
     lists = con.sql(words_sql("rows_", "row", joint)).to_arrow_table()["words"].combine_chunks()
     con.unregister("rows_")
     return lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
 
 
-def _choose(joined: list[str], apart: list[str], known: set[str]) -> list[str]:
-    """The words with each broken one whole if the items know it so, else in parts if they know these."""
+def _choose(joined: list[str], apart: list[str], known: set[str]) -> list[tuple[bool, int]]:
+    """Which words to read, as (whether of `apart`, place): each broken one whole if the items know it so,
+    else in parts if they know these."""
     out, k = [], 0
-    for w in joined:
-        parts, size = [], 0
+    for i, w in enumerate(joined):
+        first, size = k, 0
         while k < len(apart) and size < len(w):
-            parts.append(apart[k])
             size += len(apart[k])
             k += 1
-        out += parts if w not in known and len(parts) > 1 and all(p in known for p in parts) else [w]
+        split = w not in known and k - first > 1 and all(p in known for p in apart[first:k])
+        out += [(True, j) for j in range(first, k)] if split else [(False, i)]
     return out
 
 
@@ -128,7 +129,8 @@ def _scan(con, grams: Ngrams, values: pa.Array, texts: pa.Array) -> set[tuple[in
         look(rows, apart)
         known = set(grams.words)
         pick = lambda x: [w for w in x if w]
-        look(rows, pa.array([_choose(pick(j), pick(a), known) for j, a in zip(lists.filter(pa.array(broken)).to_pylist(), apart.to_pylist())], pa.list_(pa.string())))
+        both = [(pick(j), pick(a)) for j, a in zip(lists.filter(pa.array(broken)).to_pylist(), apart.to_pylist())]
+        look(rows, pa.array([[(a if is_apart else j)[k] for is_apart, k in _choose(j, a, known)] for j, a in both], pa.list_(pa.string())))
     return found
 
 
@@ -196,34 +198,60 @@ def leaks(
 
 
 @lru_cache
-def _fold_tables():
-    gone = INVISIBLE.replace("\\x{E0000}-\\x{E0FFF}", "\\U000E0000-\\U000E0FFF").replace("\\x{", "\\u").replace("}", "")
-    return gone, str.maketrans(LIGATURES | {"ß": "ss"}), str.maketrans(table(any_case=True))
-
-
-@lru_cache(100_000)
-def fold(word: str) -> str:
-    """The folded form of a short text, as `steps_sql` has it with any_case."""
+def _patterns():
+    """Regular expressions of a line-end break, and of a piece of text that folds by itself into words."""
     import regex
 
-    gone, ligatures, single = _fold_tables()
-    s = unicodedata.normalize("NFC", regex.sub(f"[{gone}]+", "", word.lower()))
-    return unicodedata.normalize("NFC", s.translate(ligatures).translate(single))
+    gone = INVISIBLE.replace("\\x{E0000}-\\x{E0FFF}", "\\U000E0000-\\U000E0FFF").replace("\\x{", "\\u").replace("}", "")
+    brk = f"[-\\u2010\\u2011\\uFF0D\\u00AD][{gone}]*[ \\t]*\\r?\\n[ \\t>|]*"
+    letters = "".join(k for k, v in (LIGATURES | table(any_case=True)).items() if v.isalnum() and not k.isalnum())
+    return regex.compile(brk), regex.compile(f"(?s:[\\p{{L}}\\p{{M}}\\p{{N}}{gone}{regex.escape(letters)}]|.(?=[{gone}]*+\\p{{M}}))+")
+
+
+Word = tuple[str, int, int]
+
+
+def _placed(con, texts: list[str], joint: str) -> list[list[Word]]:
+    """(word, start, end) of the words that `_words` has for each text, with their places in it."""
+    brk, piece = _patterns()
+    pieces, owners = [], []
+    for row, text in enumerate(texts):
+        parts, places, at = [], [], 0
+        for m in brk.finditer(text):
+            parts += [text[at : m.start()], joint]
+            places += [np.arange(at, m.start()), np.full(len(joint), m.start())]
+            at = m.end()
+        whole, place = "".join([*parts, text[at:]]), np.concatenate([*places, np.arange(at, len(text))]).tolist()
+        for m in piece.finditer(whole):
+            pieces.append(m.group())
+            owners.append((row, place[m.start()], place[m.end() - 1] + 1))
+    kinds = {p: k for k, p in enumerate(dict.fromkeys(pieces))}  # most pieces recur, each kind is folded once
+    lists = _words(con, pa.table({"row": np.arange(len(kinds)), "text": pa.array(list(kinds), pa.string())}), None).to_pylist()
+    out: list[list[Word]] = [[] for _ in texts]
+    for p, (row, start, end) in zip(pieces, owners):
+        out[row] += [(w, start, end) for w in lists[kinds[p]] if w]
+    return out
 
 
-def _spans(text: str, grams: Ngrams) -> list[tuple[int, int]]:
-    """Where n-grams of the items stand in `text`, merged."""
-    import regex
+def _spans(con, texts: list[str], grams: Ngrams, number: dict[str, int]) -> list[list[tuple[int, int]]]:
+    """Where n-grams of the items stand in each text by any of the three readings of `_scan`, merged."""
+    readings = [[j] for j in _placed(con, texts, "")]
+    broken = [r for r, t in enumerate(texts) if _patterns()[0].search(t)]
+    for r, apart in zip(broken, _placed(con, [texts[r] for r in broken], " ") if broken else []):
+        joined = readings[r][0]
+        chosen = _choose([w for w, _, _ in joined], [w for w, _, _ in apart], number.keys())
+        readings[r] += [apart, [(apart if is_apart else joined)[k] for is_apart, k in chosen]]
+    out = []
+    for each in readings:
+        spans: list[tuple[int, int]] = []
+        for words in each:
+            ids = np.array([number.get(w, -1) for w, _, _ in words], np.int64)
+            spans += [(words[p][1], words[p + grams.n - 1][2]) for p, _ in grams.hits(ids, np.array([len(ids)]))]
+        out.append(_merged(spans))
+    return out
 
-    gone = _fold_tables()[0]
-    brk = f"[-\\u2010\\u2011\\uFF0D\\u00AD][{gone}]*[ \\t]*\\r?\\n[ \\t>|]*"
-    number = {w: i for i, w in enumerate(grams.words)}
-    spans: list[tuple[int, int]] = []
-    for pattern in (f"(?:[\\p{{L}}\\p{{M}}\\p{{N}}{gone}]|(?<=\\w){brk}(?=\\w))+", f"(?:[\\p{{L}}\\p{{M}}\\p{{N}}]|[{gone}](?!\\n))+"):
-        words = [(m.start(), m.end(), number.get(fold(regex.sub(brk, "", m.group())), -1)) for m in regex.finditer(pattern, text)]
-        words = [w for w in words if fold(text[w[0] : w[1]])]
-        ids = np.array([w[2] for w in words], np.int64)
-        spans += [(words[p][0], words[p + grams.n - 1][1]) for p, _ in grams.hits(ids, np.array([len(ids)]))]
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     merged: list[tuple[int, int]] = []
     for a, b in sorted(spans):
         if merged and a <= merged[-1][1]:
@@ -233,12 +261,18 @@ def _spans(text: str, grams: Ngrams) -> list[tuple[int, int]]:
     return merged
 
 
+def _cut(text: str, spans: list[tuple[int, int]]) -> str:
+    ends = [0, *(b for _, b in spans)]
+    return "".join(text[i:a] for i, a in zip(ends, [*(a for a, _ in spans), len(text)]))
+
+
 def decontaminate(documents: DataFrame, items: DataFrame, *, remove: str = "spans", doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents as (doc_id, text, n_removed), without what leaked into them.
 
     `remove="spans"` cuts the leaked words out of the texts, from the first to the last word of each
     run, and counts the cut characters; `remove="documents"` leaves out every document with a leak.
-    Null texts stay; documents without a leak stay as they are.
+    Null texts stay; documents without a leak stay as they are. What is cut is what `leaks` reads, in
+    all its readings, and again until what is left has no leak, as the ends of a cut may form a new one.
     """
     if remove not in ("spans", "documents"):
         raise ValueError(remove)
@@ -253,7 +287,7 @@ def decontaminate(documents: DataFrame, items: DataFrame, *, remove: str = "span
 
         def run(batches, shared=shared):
             con, grams = connect(), shared.value
-            values = pa.array(grams.words, pa.string())
+            values, number = pa.array(grams.words, pa.string()), {w: i for i, w in enumerate(grams.words)}
             for b in (part for whole in batches for part in slices(whole)):
                 texts = b.column(1)
                 hit = {r for r, _ in _scan(con, grams, values, pc.fill_null(texts, ""))}
@@ -261,13 +295,14 @@ def decontaminate(documents: DataFrame, items: DataFrame, *, remove: str = "span
                     yield b
                     continue
                 out, cut = texts.to_pylist(), b.column(2).to_pylist()
-                for r in hit:
-                    t, kept, at = out[r], [], 0
-                    for i, j in _spans(t, grams):
-                        kept.append(t[at:i])
-                        cut[r] += j - i
-                        at = j
-                    out[r] = "".join(kept) + t[at:]
+                while hit:
+                    rows = sorted(hit)
+                    for r, spans in zip(rows, _spans(con, [out[r] for r in rows], grams, number)):
+                        if not spans:
+                            raise RuntimeError("a leak has no place in its text")
+                        cut[r] += sum(j - i for i, j in spans)
+                        out[r] = _cut(out[r], spans)
+                    hit = {rows[r] for r, _ in _scan(con, grams, values, pa.array([out[r] for r in rows], pa.string()))}
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(cut, pa.int64())], ["doc_id", "text", "n_removed"])
 
         rest = rest.mapInArrow(run, schema)

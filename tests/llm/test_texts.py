@@ -107,6 +107,20 @@ def test_decontaminate(spark):
     assert [r[0] for r in rows(leakage.decontaminate(_docs(spark, texts), items, remove="documents"))] == [1, 2]
 
 
+def test_cut_documents_leak_no_more(spark):
+    items = spark.createDataFrame([(7, "we saw a well known example of nine curators at work in Höfen today")], "item_id long, text string")
+    texts = [
+        "A. we saw a well-\nknown exam-\nple of nine curators at work B.", "A. a well known exam\u00ad\nple of nine curators at work in B.", "A. a well known exam-\u200b\nple of nine curators at work in B.",
+        "A. a well-\n> known ex\u00adample of nine cu\u200brators at work in Ho\u0308fen B.", "known example of nine curators we saw a well known example of nine curators at work in Höfen today at work in Höfen today", "fine",
+    ]
+    docs = _docs(spark, texts)
+    assert len(rows(leakage.leaks(docs, items))) == 5
+    out = leakage.decontaminate(docs, items)
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in out.collect()}
+    assert {i: got[i][0] for i in range(4)} == dict.fromkeys(range(4), "A.  B.") and got[5] == ("fine", 0)
+    assert all(len(t) == len(got[i][0]) + got[i][1] for i, t in enumerate(texts)) and leakage.leaks(out, items).count() == 0
+
+
 @pytest.mark.skipif(not __import__("os").path.exists(packing.RANKS), reason="no tokenizer files")
 def test_packing(spark):
     r = random.Random(1)
