@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.runtime import Stage
+
 
 def melt(df: DataFrame, ids: list[str], values: list[str], name: str = "metric", value: str = "value") -> DataFrame:
     """Wide to long; the values become double."""
@@ -48,24 +50,27 @@ def sample_per_group(df: DataFrame, group: str, id: str, n: int, seed: int = 12)
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
 
 
-def ordinal(df: DataFrame, order: list[str], as_: str = "ordinal") -> DataFrame:
+def ordinal(df: DataFrame, order: list[str], as_: str = "ordinal", stage: Stage | None = None) -> DataFrame:
     """Number of each row from 0 in the order of columns, without sorting all rows in one task.
 
-    Rows are range partitioned and numbered within their partition; the sizes of the partitions, one
-    row each, give what to add. Columns of the order should make rows distinct.
+    Rows are range partitioned, sorted and numbered within their partition by one shuffle, and written
+    with the number of the partition; the sizes of the partitions, counted from what was written, give
+    what to add. Nothing is partitioned twice, so numbers can't repeat however the ranges were cut.
+    Columns of the order should make rows distinct: which of two equal rows comes first is not defined.
     """
-    # A fixed number of partitions is not coalesced, so both uses of the numbering see the same ones.
+    stage = stage or Stage(df.sparkSession)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    local = parts.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    row = F.monotonically_increasing_id()  # the partition above bit 33, the place within it below
+    rows = stage.save(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_row", row))
+    rows = rows.withColumns({"_part": F.shiftright("_row", 33), "_local": F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_row")
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_part", before.alias("_before"))  # one row a partition
-    return local.join(F.broadcast(starts), "_part").withColumn(as_, F.col("_before") + F.col("_local") - 1).drop("_part", "_local", "_before")
+    return rows.join(F.broadcast(starts), "_part").withColumn(as_, F.col("_before") + F.col("_local")).drop("_part", "_local", "_before")
 
 
 def batches(df: DataFrame, order: list[str], size: int = 50) -> DataFrame:
-    """Rows with the number of their batch of `size`."""
+    """Rows with the number of their batch of `size`, in the order of columns that make them distinct."""
     return ordinal(df, order, "_o").withColumn("batch", F.floor(F.col("_o") / size)).drop("_o")
 
 

@@ -7,20 +7,27 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot if it holds more than this share of the rows; so there are fewer than 1 / HOT_SHARE hot keys.
+#: A key is hot if it holds more than this share of the rows, or more than TASK_ROWS of them.
 HOT_SHARE = 1 / 200
 #: And more rows than this: fewer are no burden for a task, whatever their share.
 HOT_ROWS = 10_000
+#: Rows of one key that a task should not have to hold. Of very large tables, the rows per hot key rise, so that there are at most MOST_HOT such keys.
+TASK_ROWS, MOST_HOT = 2_000_000, 100_000
+
+
+def hot_from(total: int, share: float = HOT_SHARE, rows: int = HOT_ROWS) -> float:
+    """Number of rows above which a key of a table of `total` rows is hot; fewer than max(1 / share, MOST_HOT) keys are."""
+    return max(float(rows), min(total * share, max(TASK_ROWS, total / MOST_HOT)))
 
 
 def hot_keys(df: DataFrame, keys: list[str], total: int, share: float = HOT_SHARE, rows: int = HOT_ROWS) -> DataFrame:
-    """Keys that hold more than `share` of the `total` rows of `df`, and more than `rows`, counted exactly.
+    """Keys of `df` that hold more rows than `hot_from` says of a table of `total` rows, counted exactly.
 
-    Counts are combined before the shuffle. At most 1/share rows come out whatever the data,
-    which is the bound that allows to broadcast them. Null keys are never hot.
+    Counts are combined before the shuffle. At most max(1/share, MOST_HOT) rows come out whatever the
+    data, which is the bound that allows to broadcast them. Null keys are never hot.
     """
     counts = df.na.drop(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return counts.where(F.col("_rows") > F.lit(max(float(rows), total * share))).drop("_rows")
+    return counts.where(F.col("_rows") > F.lit(hot_from(total, share, rows))).drop("_rows")
 
 
 _UNKNOWN = object()
@@ -29,7 +36,7 @@ _UNKNOWN = object()
 def known_hot(df: DataFrame, keys: list[str], total: int | None = None, share: float = HOT_SHARE, rows: int = HOT_ROWS) -> DataFrame | None:
     """The hot keys of `df` as a table in the driver, or None if there is none.
 
-    Fewer than 1/share keys exist, so fewer are fetched; joins with them then need no second count.
+    No more exist than `hot_keys` says, so no more are fetched; joins with them then need no second count.
     """
     total = df.count() if total is None else total
     if total <= rows:
@@ -42,8 +49,8 @@ def known_hot(df: DataFrame, keys: list[str], total: int | None = None, share: f
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", *, total: int | None = None, share: float = HOT_SHARE, rows: int = HOT_ROWS, hot=_UNKNOWN) -> DataFrame:
     """Join of `left` to `right`, where `right` has one row a key and `how` is inner, left, left_semi or left_anti.
 
-    Rows of hot keys meet their (fewer than 1/share) right rows in a broadcast, so no task gets a
-    hot key; all other keys are joined by one shuffle. Rows of `left` whose key is null stay as an
+    Rows of hot keys meet their right rows in a broadcast, one row a key and no more keys than
+    `hot_keys` says, so no task gets a hot key; all other keys are joined by one shuffle. Rows of `left` whose key is null stay as an
     ordinary join has them (kept by left and left_anti), without being sent to one partition. `hot`
     may hold the hot keys of `left`, as `known_hot` gives them; else they are counted first.
     """

@@ -312,8 +312,20 @@ def store_idempotent(spark, d):
     return stack_sources(("first", first.agg(F.count(F.lit(1)).alias("n_rows"))), ("again", again.agg(F.count(F.lit(1)).alias("n_rows"))), name="run").select("run", "n_rows")
 
 
+@query("""SELECT 'document' AS stored, row_number() OVER (ORDER BY doi) AS id, doi AS natural_key FROM (SELECT DISTINCT trim(doi) AS doi FROM scholarly_document)
+    UNION ALL SELECT 'repository', row_number() OVER (ORDER BY code_host_id, owner, name), owner || '/' || name FROM (SELECT DISTINCT code_host_id, trim(owner) AS owner, trim(name) AS name FROM repository)""")
+def surrogate_keys(spark, d):
+    """Ids that a first run gives to all documents and repositories with all their columns (D-40)."""
+    parts = []
+    for table, stored, keys, name in (("scholarly_document", "document", ["doi"], F.col("doi")), ("repository", "repository", ["code_host_id", "owner", "name"], F.concat_ws("/", "owner", "name"))):
+        rows = read(spark, d, table)
+        made = get_or_create(rows.where("false"), rows.drop("id", "created_datetime", "updated_datetime"), keys)
+        parts.append(made.select(F.lit(stored).alias("stored"), F.col("id").cast("long").alias("id"), name.alias("natural_key")))
+    return parts[0].unionByName(parts[1])
+
+
 @query()
 def annotation_sample(spark, d):
-    """Fifty units per source, the same at every run (SL-06), after a repeatable tenth of the pairs (SL-05)."""
+    """Fifty units per source, the same at every run (SL-06), after a repeatable half of the pairs (SL-05)."""
     pairs = hash_sample(read(spark, d, "basic_repository_document_pair"), "raw_id", 0.5)
     return sample_per_group(pairs, "source", "raw_id", 50).select("raw_id", "source", "repo_url", "paper_doi")

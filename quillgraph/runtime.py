@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(master: str | None = None, app: str = "quillgraph", **conf: str) -> SparkSession:
@@ -68,6 +69,18 @@ class Stage:
         self._paths[id(out)] = (path, out)
         return out
 
+    def save_counted(self, df: DataFrame, *more: Column) -> tuple:
+        """The written table, its number of rows, and further sums (0 where there are no rows), all counted while it is written."""
+        seen = Observation()
+        out = self.save(df.observe(seen, F.count(F.lit(1)).alias("n"), *(c.alias(f"c{i}") for i, c in enumerate(more))))
+        got = seen.get
+        return out, got.get("n") or 0, *(got.get(f"c{i}") or 0 for i in range(len(more)))
+
+    def close(self) -> None:
+        """Removes all tables of this stage; nothing may read them any more."""
+        self._paths.clear()
+        _remove(self.spark, self.root)
+
     def drop(self, *dfs: DataFrame) -> None:
         for df in dfs:
             path, _ = self._paths.pop(id(df), (None, None))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.operators import dedup, reshape, summary
+from quillgraph.operators.skew import hot_from
 from quillgraph.operators.store import get_or_create, new_rows, not_yet_stored, repeated_keys
 
 
@@ -56,6 +57,20 @@ def test_reshape_round_trip_and_numbering(spark):
     assert {r[1] for r in reshape.round_robin(n, ["x"], 3).groupBy("slot").count().collect()} == {333, 334}
 
 
+def test_numbers_of_wide_rows_do_not_repeat(spark):
+    df = spark.range(30_000).select(F.sha2(F.col("id").cast("string"), 256).alias("key"), *(F.repeat(F.lit("x"), 20).alias(f"c{i}") for i in range(6)))
+    out = reshape.ordinal(df, ["key"]).select("ordinal", "key")
+    assert [r[1] for r in out.orderBy("ordinal").collect()] == sorted(r[0] for r in df.select("key").collect())
+    assert tuple(out.agg(F.count_distinct("ordinal"), F.min("ordinal"), F.max("ordinal")).first()) == (30_000, 0, 29_999)
+    ids = get_or_create(spark.createDataFrame([(7, "a")], "id long, key string"), df.union(df), ["key"])
+    assert tuple(ids.agg(F.count(F.lit(1)), F.count_distinct("id"), F.min("id"), F.max("id")).first()) == (30_000, 30_000, 8, 30_007)
+
+
+def test_few_keys_are_hot_at_every_size():
+    assert hot_from(20_000) == 10_000 and hot_from(10_000_000) == 50_000 and hot_from(10**10) == 2_000_000
+    assert all(total / hot_from(total) <= 100_000 for total in (10**k for k in range(4, 16)))
+
+
 def test_samples_are_repeatable(spark):
     df = spark.range(10_000).withColumn("g", F.col("id") % 3)
     a, b = (reshape.hash_sample(df, "id", 0.1, 5) for _ in range(2))
