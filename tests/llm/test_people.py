@@ -61,6 +61,63 @@ def test_consensus_beats_the_majority_and_finds_the_careful(noisy):
     assert people["rare"]["weight"] < people["mid"]["weight"] < people["good1"]["weight"] and all(p["error_bound"] >= p["error_rate"] - 0.05 for p in people.values())
 
 
+def _plain(votes, weigh, rounds):
+    """The same method over a list of (unit, annotator, answer), one after the other."""
+    labels = consensus.LABELS["contrib_type"]
+    by, told = {}, {}
+    for u, a, y in votes:
+        by.setdefault(u, []).append((a, y))
+        told.setdefault(a, []).append((u, y))
+    weight = dict.fromkeys(told, 1.0)
+    for _ in range(rounds):
+        best = {u: max(labels, key=lambda t: (sum(weight[a] for a, y in vs if y == t), [-labels.index(t)])) for u, vs in by.items()}
+        weight = {a: weigh(consensus.error_bound(len(vs), sum(best[u] != y for u, y in vs)), 3) for a, vs in told.items()}
+    return {u: max(labels, key=lambda t: (sum(weight[a] for a, y in vs if y == t), [-labels.index(t)])) for u, vs in by.items()}, weight
+
+
+@pytest.mark.parametrize("weigh", [consensus.log_odds, consensus.inverse])
+def test_consensus_equals_the_plain_form_in_every_way(noisy, spark, weigh, monkeypatch):
+    _, _, votes = noisy
+    first = consensus.discover(votes, weigh=weigh)
+    want, weight = _plain([(r["unit_id"], r["annotator"], r["answer"]) for r in votes.collect()], weigh, first.rounds)
+    assert first.settled and {r["unit_id"]: r["label"] for r in first.labels.collect()} == want
+    assert {r["annotator"]: pytest.approx(r["weight"]) for r in first.annotators.collect()} == weight
+    joined = consensus.discover(votes, weigh=weigh, most_annotators=1)
+    assert rows(joined.labels.select("unit_id", "label", "n_answers", "agreement")) == rows(first.labels.select("unit_id", "label", "n_answers", "agreement"))
+    monkeypatch.setattr(consensus, "known_hot", lambda df, keys, total=None: df.where("unit_id < 20").select(*keys).distinct())
+    hot = consensus.discover(votes, weigh=weigh)
+    assert rows(hot.labels.select("unit_id", "label", "n_answers", "agreement")) == rows(first.labels.select("unit_id", "label", "n_answers", "agreement"))
+
+
+def test_made_labels_with_a_long_tail(spark):
+    """Annotators as in the real answers: careful, coarse, biased to one label, and two hundred of a few answers each."""
+    r = random.Random(8)
+    labels = consensus.LABELS["contrib_type"]
+    truth = {u: r.choices(labels, (6, 2, 2))[0] for u in range(1500)}
+
+    def answer(kind, t):
+        if kind[0] == "biased":
+            return kind[1] if r.random() < 0.8 else t
+        return t if r.random() < kind[1] else r.choice([x for x in labels if x != t])
+
+    kinds = {f"a{i}": k for i, k in enumerate([("even", 0.93)] * 3 + [("even", 0.75)] * 3 + [("biased", "code")] * 2 + [("biased", "other")] * 2 + [("even", 0.34)])}
+    votes = [(u, "contrib_type", a, answer(k, t)) for u, t in truth.items() for a, k in kinds.items() if r.random() < (0.9 if a in ("a0", "a3") else 0.35)]
+    tail = {f"t{i}": ("even", r.choice([0.4, 0.9])) for i in range(200)}
+    votes += [(u, "contrib_type", a, answer(k, truth[u])) for a, k in tail.items() for u in r.sample(range(1500), 3)]
+    df = spark.createDataFrame(votes, "unit_id long, question string, annotator string, answer string")
+
+    def accuracy(weigh):
+        out = consensus.discover(df, weigh=weigh)
+        got = {x["unit_id"]: x["label"] for x in out.labels.collect()}
+        return sum(got[u] == truth[u] for u in got) / len(got), out
+
+    (named, out), (plain, _) = accuracy(consensus.log_odds), accuracy(consensus.inverse)
+    majority, _ = accuracy(lambda bound, k: 1.0)
+    assert named > 0.95 and named > majority + 0.03 and named >= plain - 0.005, (named, plain, majority)
+    weight = {x["annotator"]: x["weight"] for x in out.annotators.collect()}
+    assert max(weight[a] for a in tail) < min(weight[a] for a, k in kinds.items() if k == ("even", 0.93))
+
+
 def test_consensus_of_little(spark):
     schema = "unit_id long, question string, annotator string, answer string"
     one = consensus.discover(spark.createDataFrame([(1, "contrib_type", "a", "docs")], schema)).labels.first()
