@@ -12,13 +12,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.lookalikes import INVISIBLE, LIGATURES, connect, slices, steps_sql, table
+from quillgraph.llm.lookalikes import INVISIBLE, connect, slices, steps_sql, table
 from quillgraph.runtime import Stage
 
 #: Consecutive words of an item that make a leak.
 WORDS = 10
 #: Characters of item text whose n-grams are broadcast at once; a larger set is searched in blocks of about this size.
 BLOCK_CHARS = 1_000_000
+#: Words of an item that go into one block.
+CHUNK_WORDS = 20_000
 
 _BREAK = f"[-\\x{{2010}}\\x{{2011}}\\x{{FF0D}}\\x{{AD}}][{INVISIBLE}]*[ \\t]*\\r?\\n[ \\t>|]*"
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -134,32 +136,63 @@ def _scan(con, grams: Ngrams, values: pa.Array, texts: pa.Array) -> set[tuple[in
     return found
 
 
-def _blocks(items: DataFrame, id: str, text: str, n: int, block_chars: int) -> Iterator[Ngrams]:
-    """The n-grams of the items, in blocks of about `block_chars` characters."""
+def _chunks(items: DataFrame, id: str, text: str, n: int) -> DataFrame:
+    """(id, part, words) of the items, an item of more than CHUNK_WORDS words in several rows, which share n - 1 words."""
     rows = items.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-    blocks = max(1, math.ceil((rows.agg(F.sum(F.length("text"))).first()[0] or 0) / block_chars))
-    con = connect()
-    for k in range(blocks):
-        part = [tuple(r) for r in rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect()]
-        if part:
-            lists = _words(con, pa.table({"row": range(len(part)), "text": pa.array([t for _, t in part], pa.string())}), "").to_pylist()
-            yield Ngrams([(i, w) for (i, _), w in zip(part, lists)], n)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        con = connect()
+        for b in (part for whole in batches for part in slices(whole)):
+            lists = _words(con, pa.table({"row": range(b.num_rows), "text": b.column(1)}), "").to_pylist()
+            for i, words in zip(b.column(0).to_pylist(), lists):
+                words = [w for w in words if w]
+                for k, at in enumerate(range(0, max(1, len(words) - n + 1), CHUNK_WORDS)):
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([k], pa.int64()), pa.array([words[at : at + CHUNK_WORDS + n - 1]], pa.list_(pa.string()))], ["id", "part", "words"])
 
-def _each_block(documents: DataFrame, items: DataFrame, item_id: str, item_text: str, n: int, block_chars: int, job: Callable, schema: str) -> DataFrame:
-    parts = []
-    for grams in _blocks(items, item_id, item_text, n, block_chars):
-        shared = documents.sparkSession.sparkContext.broadcast(grams)
+    return rows.mapInArrow(run, "id long, part long, words array<string>")
+
+
+class _Blocks:
+    """The n-grams of the items in blocks of about `block_chars` characters, one in the driver at a time."""
+
+    def __init__(self, stage: Stage, items: DataFrame, id: str, text: str, n: int, block_chars: int):
+        size = F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s + F.length(w) + 1)
+        self.rows, _, chars = stage.save_counted(_chunks(items, id, text, n).withColumn("size", size), F.sum("size"))
+        self.n, self.number = n, math.ceil(chars / block_chars)
+
+    def grams(self, k: int) -> Ngrams:
+        part = self.rows if self.number == 1 else self.rows.where(F.pmod(F.xxhash64("id", "part", "words"), F.lit(self.number)) == k)
+        return Ngrams([(r["id"], r["words"]) for r in part.collect()], self.n)
+
+    def broadcast(self, k: int):
+        return self.rows.sparkSession.sparkContext.broadcast(self.grams(k))
 
-        def run(batches, shared=shared):
-            con, grams = connect(), shared.value
-            values = pa.array(grams.words, pa.string())
-            for b in batches:
-                for part in slices(b):
-                    yield from job(con, grams, values, part)
 
-        parts.append(documents.mapInArrow(run, schema))
-    return reduce(DataFrame.unionByName, parts) if parts else documents.sparkSession.createDataFrame([], schema)
+def _scanner(shared, job: Callable):
+    """Function for mapInArrow: `job` over each part of a batch, with a block of n-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        con, grams = connect(), shared.value
+        values = pa.array(grams.words, pa.string())
+        for b in (part for whole in batches for part in slices(whole)):
+            yield from job(con, grams, values, b)
+
+    return run
+
+
+def _each_block(stage: Stage, documents: DataFrame, blocks: _Blocks, job: Callable, schema: str) -> DataFrame:
+    """What `job` finds with every block. One block stays lazy; of several, each one's finds are written
+    and its broadcast is destroyed before the next one is made, so memory doesn't grow with the items."""
+    if blocks.number == 0:
+        return documents.sparkSession.createDataFrame([], schema)
+    if blocks.number == 1:
+        return documents.mapInArrow(_scanner(blocks.broadcast(0), job), schema)
+    parts = []
+    for k in range(blocks.number):
+        shared = blocks.broadcast(k)
+        parts.append(stage.save(documents.mapInArrow(_scanner(shared, job), schema)))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, parts)
 
 
 def leaks(
@@ -185,7 +218,8 @@ def leaks(
     once; documents are read whole; empty tables give no rows; further columns are ignored.
 
     Scale: one scan of the documents, no shuffle of text; only hits are made distinct. The broadcast is
-    bounded: items of more than `block_chars` characters in all are searched in blocks, a scan each.
+    bounded: items of more than `block_chars` characters in all are searched in blocks, a scan each, and
+    only one block is held at a time, however many or long the items are.
     """
     source = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
 
@@ -194,7 +228,8 @@ def leaks(
         ids = b.column(0)
         yield pa.RecordBatch.from_arrays([ids.take(pa.array([r for r, _ in found], pa.int64())), pa.array([i for _, i in found], pa.int64())], ["doc_id", "item_id"])
 
-    return _each_block(source, items, item_id, item_text, n, block_chars, job, "doc_id long, item_id long").distinct()
+    stage = Stage(documents.sparkSession)
+    return _each_block(stage, source, _Blocks(stage, items, item_id, item_text, n, block_chars), job, "doc_id long, item_id long").distinct()
 
 
 @lru_cache
@@ -204,7 +239,7 @@ def _patterns():
 
     gone = INVISIBLE.replace("\\x{E0000}-\\x{E0FFF}", "\\U000E0000-\\U000E0FFF").replace("\\x{", "\\u").replace("}", "")
     brk = f"[-\\u2010\\u2011\\uFF0D\\u00AD][{gone}]*[ \\t]*\\r?\\n[ \\t>|]*"
-    letters = "".join(k for k, v in (LIGATURES | table(any_case=True)).items() if v.isalnum() and not k.isalnum())
+    letters = "".join(k for k, v in table(any_case=True).items() if v.isalnum() and not k.isalnum())
     return regex.compile(brk), regex.compile(f"(?s:[\\p{{L}}\\p{{M}}\\p{{N}}{gone}{regex.escape(letters)}]|.(?=[{gone}]*+\\p{{M}}))+")
 
 
@@ -280,32 +315,61 @@ def decontaminate(documents: DataFrame, items: DataFrame, *, remove: str = "span
     if remove == "documents":
         bad = leaks(documents, items, doc_id=doc_id, text=text, item_id=item_id, item_text=item_text, n=n, block_chars=block_chars)
         return rest.join(bad.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "text", "n_removed")
-    schema = "doc_id long, text string, n_removed long"
-    stage, blocks = Stage(documents.sparkSession), list(_blocks(items, item_id, item_text, n, block_chars))
-    for k, grams in enumerate(blocks):  # each block's scan cuts its items from what the last one left
-        shared = documents.sparkSession.sparkContext.broadcast(grams)
-
-        def run(batches, shared=shared):
-            con, grams = connect(), shared.value
-            values, number = pa.array(grams.words, pa.string()), {w: i for i, w in enumerate(grams.words)}
-            for b in (part for whole in batches for part in slices(whole)):
-                texts = b.column(1)
-                hit = {r for r, _ in _scan(con, grams, values, pc.fill_null(texts, ""))}
-                if not hit:
-                    yield b
-                    continue
-                out, cut = texts.to_pylist(), b.column(2).to_pylist()
-                while hit:
-                    rows = sorted(hit)
-                    for r, spans in zip(rows, _spans(con, [out[r] for r in rows], grams, number)):
-                        if not spans:
-                            raise RuntimeError("a leak has no place in its text")
-                        cut[r] += sum(j - i for i, j in spans)
-                        out[r] = _cut(out[r], spans)
-                    hit = {rows[r] for r, _ in _scan(con, grams, values, pa.array([out[r] for r in rows], pa.string()))}
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(cut, pa.int64())], ["doc_id", "text", "n_removed"])
-
-        rest = rest.mapInArrow(run, schema)
-        if k + 1 < len(blocks):
-            rest = stage.save(rest)
-    return rest
+    stage = Stage(documents.sparkSession)
+    blocks = _Blocks(stage, items, item_id, item_text, n, block_chars)
+    if blocks.number == 0:
+        return rest
+    if blocks.number == 1:
+        return rest.mapInArrow(_scanner(blocks.broadcast(0), _cut_all), "doc_id long, text string, n_removed long")
+    # Several blocks: places of all of them are found in the same text, merged, and cut at once; then again in what was cut.
+    rows = stage.save(rest.withColumn("row", F.monotonically_increasing_id()))
+    found = F.col("places").isNotNull()
+    done = []
+    while True:
+        texts = rows.where("text is not null").select("row", "text")
+        places, n_places = stage.save_counted(_each_block(stage, texts, blocks, _places, "row long, start long, end long"))
+        if n_places == 0:
+            return reduce(DataFrame.unionByName, [*done, rows]).select("doc_id", "text", "n_removed")
+        per = places.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("places"))  # within one text
+        both = stage.save(rows.join(per, "row", "left"))
+        done.append(both.where(~found).drop("places"))
+        rows = stage.save(both.where(found).mapInArrow(_cut_places, "row long, doc_id long, text string, n_removed long"))
+
+
+def _places(con, grams: Ngrams, values: pa.Array, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """(row, start, end) of the leaks in (row, text)."""
+    rows = sorted({r for r, _ in _scan(con, grams, values, b.column(1))})
+    ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+    spans = _spans(con, [texts[r] for r in rows], grams, {w: i for i, w in enumerate(grams.words)}) if rows else []
+    out = [(ids[r], i, j) for r, found in zip(rows, spans) for i, j in found]
+    cols = list(zip(*out)) if out else [(), (), ()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["row", "start", "end"])
+
+
+def _cut_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        x = b.to_pydict()
+        spans = [_merged([(p["start"], p["end"]) for p in found]) for found in x["places"]]
+        texts = [_cut(t, found) for t, found in zip(x["text"], spans)]
+        cut = [n + len(t) - len(new) for n, t, new in zip(x["n_removed"], x["text"], texts)]
+        yield pa.RecordBatch.from_arrays([pa.array(x["row"], pa.int64()), pa.array(x["doc_id"], pa.int64()), pa.array(texts, pa.string()), pa.array(cut, pa.int64())], ["row", "doc_id", "text", "n_removed"])
+
+
+def _cut_all(con, grams: Ngrams, values: pa.Array, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, n_removed) without leaks."""
+    texts = b.column(1)
+    hit = {r for r, _ in _scan(con, grams, values, pc.fill_null(texts, ""))}
+    if not hit:
+        yield b
+        return
+    number = {w: i for i, w in enumerate(grams.words)}
+    out, cut = texts.to_pylist(), b.column(2).to_pylist()
+    while hit:
+        rows = sorted(hit)
+        for r, spans in zip(rows, _spans(con, [out[r] for r in rows], grams, number)):
+            if not spans:
+                raise RuntimeError("a leak has no place in its text")
+            cut[r] += sum(j - i for i, j in spans)
+            out[r] = _cut(out[r], spans)
+        hit = {rows[r] for r, _ in _scan(con, grams, values, pa.array([out[r] for r in rows], pa.string()))}
+    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(cut, pa.int64())], ["doc_id", "text", "n_removed"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,27 +15,31 @@ from pyspark.sql import functions as F
 from quillgraph.operators.skew import skew_join
 from quillgraph.runtime import Stage
 
-# Fixed values. Letters that look like a Latin letter (or another Greek one), and what they become.
+# Fixed values, from the public table of confusable characters: letters of one shape and case. Left out are
+# letters whose difference shows (dots, tails, strokes), small Greek letters but two, and of several
+# letters of one script that would become the same one all but the nearest.
 LETTERS = {
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "І": "I", "Ј": "J", "Ѕ": "S",
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
-    "Ё": "Ë", "ё": "ë", "Ї": "Ï", "ї": "ï", "Ѐ": "È", "ѐ": "è",
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "ο": "o", "ν": "v", "ό": "ó", "Ϊ": "Ï", "Ϋ": "Ÿ", "Ό": "Ó", "Ά": "Á", "Έ": "É", "Ί": "Í", "Ύ": "Ý",
-    "ϲ": "c", "Ϲ": "C", "ϳ": "j", "µ": "μ", "∆": "Δ", "∑": "Σ", "∏": "Π",
+    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Ү": "Y", "Х": "X", "І": "I", "Ӏ": "I", "Ј": "J", "Ѕ": "S", "Ѵ": "V", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W",
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ӏ": "i", "ј": "j", "ѕ": "s", "ѵ": "v", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
+    "Г": "Γ", "П": "Π", "Ф": "Φ",
+    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϝ": "F", "Ϲ": "C", "Ϻ": "M", "Ϳ": "J",
+    "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j", "µ": "μ", "∆": "Δ", "∑": "Σ", "Ʃ": "Σ", "∏": "Π",
+    "Ս": "U", "Տ": "S", "Օ": "O", "հ": "h", "ո": "n", "ս": "u", "օ": "o",
+    "ɡ": "g", "ᴄ": "c", "ᴏ": "o", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s",
 }
 # Letters that look like another one in upper or lower case; for text whose case is ignored.
 ANY_CASE = {
-    "в": "b", "к": "k", "м": "m", "н": "h", "т": "t", "α": "a", "β": "b", "ε": "e", "ζ": "z", "η": "h", "ι": "i", "κ": "k", "μ": "m", "ν": "n", "ρ": "p",
-    "τ": "t", "υ": "y", "χ": "x", "ά": "á", "έ": "é", "ί": "í", "ύ": "ý", "ϊ": "ï", "ϋ": "ÿ", "ς": "σ", "∂": "δ",
+    "в": "b", "к": "k", "м": "m", "н": "h", "т": "t", "ү": "y", "ԍ": "g", "г": "γ", "п": "π", "ф": "φ", "տ": "s",
+    "α": "a", "β": "b", "ε": "e", "ζ": "z", "η": "h", "ι": "i", "κ": "k", "μ": "m", "ρ": "p", "τ": "t", "υ": "y", "χ": "x", "ϝ": "f", "ϻ": "m", "ς": "σ", "ʃ": "σ", "∂": "δ",
 }
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 BLANKS = "\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
-HYPHENS = "\u2010\u2011\ufe63"
+HYPHENS = "\u2010\u2011\u2012\u2212\ufe63"
 INVISIBLE = (
-    "\\x{00AD}\\x{034F}\\x{061C}\\x{115F}\\x{1160}\\x{17B4}\\x{17B5}\\x{180B}-\\x{180E}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}"
-    "\\x{2060}-\\x{2064}\\x{2066}-\\x{206F}\\x{3164}\\x{FE00}-\\x{FE0F}\\x{FEFF}\\x{FFA0}\\x{E0000}-\\x{E0FFF}"
+    "\\x{00AD}\\x{034F}\\x{061C}\\x{115F}\\x{1160}\\x{17B4}\\x{17B5}\\x{180B}-\\x{180F}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}"
+    "\\x{2060}-\\x{206F}\\x{3164}\\x{FE00}-\\x{FE0F}\\x{FEFF}\\x{FFA0}\\x{E0000}-\\x{E0FFF}"
 )
+# Beginnings of the names of compatibility letters that look as their parts do.
+LOOKS_AS_PARTS = ("LATIN SMALL LIGATURE", "LATIN CAPITAL LIGATURE", "LATIN CAPITAL LETTER DZ", "LATIN SMALL LETTER DZ", "LATIN CAPITAL LETTER L", "LATIN SMALL LETTER LJ", "LATIN CAPITAL LETTER N", "LATIN SMALL LETTER NJ", "ARMENIAN SMALL LIGATURE", "ROMAN NUMERAL", "SMALL ROMAN NUMERAL")
 #: Bytes of text that a worker hands to SQL at once.
 SLICE = 16_000_000
 #: Texts of these characters only are their own NFC.
@@ -47,12 +52,54 @@ def widths() -> dict[str, str]:
     return {a: b for a, b in forms.items() if len(b) == 1 and b.strip()}
 
 
-def table(any_case: bool = False) -> dict[str, str]:
-    """Every one-to-one replacement."""
+@lru_cache
+def forms() -> dict[str, str]:
+    """Ligatures, digraphs, numeral letters and letters of mathematical fonts, and the letters each stands for, by the Unicode tables."""
+    out = {}
+    for c in map(chr, range(0x80, 0x1F000)):
+        kind = unicodedata.decomposition(c).partition(" ")[0]
+        if kind == "<font>" or kind == "<compat>" and unicodedata.name(c, "").startswith(LOOKS_AS_PARTS):
+            whole = unicodedata.normalize("NFKC", c)
+            if whole.isalnum():
+                out[c] = whole
+    return out
+
+
+@lru_cache
+def tables(any_case: bool = False) -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
+    """Replacements of one character by one that are frequent, that are rare, and those of one character by several."""
     letters = LETTERS | ({k: v.lower() for k, v in LETTERS.items()} | ANY_CASE if any_case else {})
-    wide = {a: letters.get(b, b) for a, b in widths().items()}
-    wide = {a: b.lower() for a, b in wide.items()} if any_case else wide
-    return letters | wide | {c: " " for c in BLANKS} | {c: "-" for c in HYPHENS}
+    letters = {a: letters.get(b, b) for a, b in letters.items()}
+    # Letters with accents become the accents on what their letter becomes.
+    accented = {}
+    for c in map(chr, range(0x80, 0x2000)):
+        if (d := unicodedata.normalize("NFD", c)) != c and d[0] in letters:
+            whole = unicodedata.normalize("NFC", letters[d[0]] + d[1:])
+            if len(whole) == 1 or d[0] in LETTERS:  # frequent Greek letters with accents stay as they are in text of any case
+                accented[c] = whole
+    found = {a: "".join(letters.get(x, x) for x in b) for a, b in (forms() | widths()).items()} | accented
+    if any_case:
+        found = {a: b.lower() for a, b in found.items()} | {"ß": "ss"}
+    one = {a: b for a, b in found.items() if len(b) == 1}
+    often = letters | {a: b for a, b in one.items() if a in widths() or a in accented} | {c: " " for c in BLANKS} | {c: "-" for c in HYPHENS}
+    return often, {a: b for a, b in one.items() if a not in often}, {a: b for a, b in found.items() if len(b) > 1}
+
+
+def table(any_case: bool = False) -> dict[str, str]:
+    """Every replacement."""
+    often, rare, long = tables(any_case)
+    return often | rare | long
+
+
+def _class(chars) -> str:
+    """A class of regular expressions, with neighbours joined to ranges."""
+    runs: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
 
 
 def _quoted(s: str) -> str:
@@ -63,21 +110,21 @@ def steps_sql(source: str, text: str, keep: str, any_case: bool = False) -> str:
     """SQL of (keep, s4), s4 the one form of `text`; with `any_case`, in lower case and folded across cases.
 
     A chain of subqueries, each step computed once a row: invisible characters go, NFC, ligatures, then
-    look-alikes, widths, blanks and hyphens by one `translate`, and NFC again where a combining mark now
-    stands behind another letter. ASCII texts, and texts composed by their characters, skip what can't
-    change them.
+    look-alikes, widths, blanks and hyphens by `translate`, and NFC again where a combining mark now
+    stands behind another letter. ASCII texts, texts composed by their characters, and texts without
+    ligatures or rare forms skip what can't change them.
     """
-    t = table(any_case)
+    often, rare, long = tables(any_case)
     first = f"lower({text})" if any_case else text
     lig = "s1"
-    for a, b in (LIGATURES | ({"ß": "ss"} if any_case else {})).items():
+    for a, b in long.items():
         lig = f"replace({lig}, {_quoted(a)}, {_quoted(b)})"
-    has = "[ﬀ-ﬆß]" if any_case else "[ﬀ-ﬆ]"
+    one = lambda s, t: f"translate({s}, {_quoted(''.join(t))}, {_quoted(''.join(t.values()))})"
     nfc = lambda s: f"CASE WHEN plain OR regexp_full_match({s}, '[{COMPOSED}]*') THEN {s} ELSE nfc_normalize({s}) END"
     return f"""
         SELECT {keep}, {nfc('s3')} AS s4 FROM (
-        SELECT {keep}, plain, CASE WHEN plain THEN s2 ELSE translate(s2, {_quoted(''.join(t))}, {_quoted(''.join(t.values()))}) END AS s3 FROM (
-        SELECT {keep}, plain, CASE WHEN NOT plain AND regexp_matches(s1, '{has}') THEN {lig} ELSE s1 END AS s2 FROM (
+        SELECT {keep}, plain, CASE WHEN plain THEN s2 ELSE {one('s2', often)} END AS s3 FROM (
+        SELECT {keep}, plain, CASE WHEN NOT plain AND regexp_matches(s1, '{_class(long | rare)}') THEN {one(lig, rare)} ELSE s1 END AS s2 FROM (
         SELECT {keep}, plain, {nfc('sx')} AS s1 FROM (
         SELECT {keep}, plain, CASE WHEN plain THEN s0 ELSE regexp_replace(s0, '[{INVISIBLE}]+', '', 'g') END AS sx FROM (
         SELECT {keep}, s0, regexp_full_match(s0, '[\\x{{00}}-\\x{{7F}}]*') AS plain FROM (

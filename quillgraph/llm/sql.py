@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from quillgraph.llm.leakage import WORDS, words_sql
-from quillgraph.llm.lookalikes import steps_sql
-
+# Consecutive words of an item that make a leak.
+WORDS = 10
 _OPEN = "<(\\[{\"''`“”‘’«"
 _CLOSE = ".,;:!?)\\]}>\"''`“”’»/"
 
@@ -71,8 +70,32 @@ def _votes() -> str:
     return f"SELECT unit_id, question, annotator, answer FROM (SELECT *, row_number() OVER (PARTITION BY unit_id, question, annotator ORDER BY told_at DESC, answer DESC) AS rn FROM ({rows}) WHERE answer IS NOT NULL AND unit_id IS NOT NULL AND annotator IS NOT NULL) WHERE rn = 1"
 
 
+# One visual form, written for these tables only and apart from the operator: characters that aren't seen,
+# ligatures, full width by arithmetic on code points, and the letters of these texts.
+_UNSEEN = "[\\x{AD}\\x{200B}-\\x{200F}\\x{2060}-\\x{2064}\\x{FE00}-\\x{FE0F}\\x{FEFF}]+"
+_WIDE = "(SELECT string_agg(chr(CAST(c + {0} AS INTEGER)), '' ORDER BY c) FROM range(33, 127) t(c))"
+_SPACES = "(SELECT string_agg(chr(CAST(c AS INTEGER)), '' ORDER BY c) FROM (SELECT unnest([160, 5760, 8239, 8287, 12288]) AS c UNION SELECT range FROM range(8192, 8203)))"
+_SEEN = ("АВЕКМНОРСТУХІЈЅаеорсухіјѕЇїЁёӒӓӦӧӰӱӖӗЀѐГПФΑΒΕΖΗΙΚΜΝΟΡΤΥΧονόΆΈΊΌΎΪΫµ∆∑‐‑", "ABEKMHOPCTYXIJSaeopcyxijsÏïËëÄäÖöŸÿĔĕÈèΓΠΦABEZHIKMNOPTYXovóÁÉÍÓÝÏŸμΔΣ--")
+_LOW = ("вкмнтгпфαβεζηικμρτυχςάέίύϊϋ", "bkmhtγπφabezhikmptyxσáéíýïÿ")
+
+
+def _form(c: str) -> str:
+    c = f"regexp_replace(nfc_normalize({c}), '{_UNSEEN}', '', 'g')"
+    for a, b in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("Ή", "H\u0301")):
+        c = f"replace({c}, '{a}', '{b}')"
+    c = f"translate({c}, {_WIDE.format(65248)}, {_WIDE.format(0)})"
+    c = f"translate({c}, {_SPACES}, repeat(' ', 16))"
+    return f"nfc_normalize(translate(nfc_normalize({c}), '{_SEEN[0]}', '{_SEEN[1]}'))"
+
+
+def _words(table: str, id: str, joint: str) -> str:
+    whole = f"regexp_replace(text, '[-‐‑－\\x{{AD}}][\\x{{200B}}-\\x{{200F}}\\x{{2060}}\\x{{FEFF}}\\x{{AD}}]*[ \\t]*\\r?\\n[ \\t>|]*', '{joint}', 'g')"
+    low = f"replace(lower({_form(whole)}), 'ß', 'ss')"
+    return f"SELECT {id}, list_filter(string_split_regex(nfc_normalize(translate({low}, '{_LOW[0]}', '{_LOW[1]}')), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> '') AS l FROM {table}"
+
+
 def _grams(table: str, id: str, joints: tuple[str, ...]) -> str:
-    lists = " UNION ALL ".join(f"SELECT {id}, list_filter(words, lambda w: w <> '') AS l FROM ({words_sql(table, id, j)})" for j in joints)
+    lists = " UNION ALL ".join(_words(table, id, j) for j in joints)
     return f"SELECT DISTINCT {id}, unnest(list_transform(range(1, len(l) - {WORDS - 2}), lambda i: array_to_string(list_slice(l, i, i + {WORDS - 1}), ' '))) AS gram FROM ({lists})"
 
 
@@ -99,10 +122,10 @@ SQL = {
         SELECT group_id, raw_id FROM g WHERE n > 1""",
     "p6_collapsed": f"""WITH c AS (SELECT raw_id, {_reference('repo_url')} AS a, {_reference('paper_doi')} AS b FROM basic_repository_document_pair)
         SELECT min(raw_id) AS group_id, CAST(count(*) AS BIGINT) AS n_copies FROM c WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY least(a, b), greatest(a, b)""",
-    "p9_found": f"""WITH c AS (SELECT doc_id, text, s4 FROM ({steps_sql('documents', 'text', 'doc_id, text')}))
+    "p9_found": f"""WITH c AS (SELECT doc_id, text, {_form('text')} AS s4 FROM documents)
         SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM c a JOIN c b ON a.s4 = b.s4 AND a.text <> b.text AND a.doc_id < b.doc_id""",
-    "p9_canonical": f"SELECT doc_id, s4 AS text FROM ({steps_sql('documents', 'text', 'doc_id')})",
-    "p9_classes": f"""WITH c AS (SELECT doc_id, text, s4 FROM ({steps_sql('documents', 'text', 'doc_id, text')})),
+    "p9_canonical": f"SELECT doc_id, {_form('text')} AS text FROM documents",
+    "p9_classes": f"""WITH c AS (SELECT doc_id, text, {_form('text')} AS s4 FROM documents),
         g AS (SELECT s4, min(doc_id) AS class_id, CAST(count(DISTINCT text) AS BIGINT) AS n_forms FROM c GROUP BY s4)
         SELECT doc_id, class_id, n_forms FROM c JOIN g USING (s4) WHERE n_forms > 1""",
     "p2_agreement": f"""WITH v AS ({_votes()}),

@@ -28,6 +28,35 @@ def test_same_look(spark, a, b):
     assert rows(lookalikes.look_pairs(_docs(spark, [a, b]))) == [(0, 1)]
 
 
+PROBES = ["օo", "սu", "հh", "ӏi", "ɡg", "ԚQ", "ԜW", "ҮY", "ѵv", "‒-", "−-", "ⅼl", "𝐀A", "ГΓ", "ПΠ", "ФΦ", "ϲc", "ＡA", "АA", "µμ", "КK"]
+LONG_PROBES = [("ĳ", "ij"), ("ǆ", "dž"), ("Ⅳ", "IV"), ("a\u2065b", "ab"), ("a\u180fb", "ab"), ("ў", "y̆"), ("ﬓ", "մն"), ("ё", "e\u0308"), ("Ά", "A\u0301")]
+SHOWS = ["ſs", "ßB", "ßβ", "²2", "ıi", "гr", "αa", "ρp", "x–", "lI", "l1", "O0", "éê", "’'", "ϑθ"]
+
+
+def _forms(texts, any_case=False):
+    con = lookalikes.connect()
+    con.execute("CREATE TABLE b (id INTEGER, text VARCHAR)")
+    con.executemany("INSERT INTO b VALUES (?, ?)", list(enumerate(texts)))
+    return [x for _, x in sorted(con.sql(f"SELECT id, s4 FROM ({lookalikes.steps_sql('b', 'text', 'id', any_case=any_case)})").fetchall())]
+
+
+def test_probes_of_the_letter_table():
+    pairs = [*PROBES, *LONG_PROBES]
+    left, right = _forms([a for a, _ in pairs]), _forms([b for _, b in pairs])
+    assert [p for p, a, b in zip(pairs, left, right) if a != b] == []
+    assert [p for p, a, b in zip(SHOWS, _forms([a for a, _ in SHOWS]), _forms([b for _, b in SHOWS])) if a == b] == []
+    for any_case in (False, True):  # the form of a form is itself
+        first = _forms(list(lookalikes.table(any_case)), any_case)
+        assert _forms(first, any_case) == first
+    assert sum(len(t) for t in lookalikes.tables()) > 1500
+
+
+def test_letters_are_in_the_public_table_of_confusables(spark):
+    checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    look = lambda text: checker.getSkeleton(0, text)
+    assert {a for a, b in lookalikes.LETTERS.items() if look(a) != look(b)} == {"Ԛ"}  # the capital of a letter that is in it
+
+
 def test_different_look_and_copies(spark):
     texts = [t for pair in DIFFERENT for t in pair] + [None, "A plain text", "A plain text", "A plain text"]
     n = len(texts)
@@ -107,6 +136,22 @@ def test_decontaminate(spark):
     assert [r[0] for r in rows(leakage.decontaminate(_docs(spark, texts), items, remove="documents"))] == [1, 2]
 
 
+def test_overlapping_items_are_cut_alike_in_any_number_of_blocks(spark):
+    w = [f"w{i}" for i in range(40)]
+    items = spark.createDataFrame([(i, " ".join(w[i * 5 : i * 5 + 14])) for i in range(6)], "item_id long, text string")
+    texts = [" ".join(["a", *w[3:30], "b"]), " ".join([*w[0:6], *w[0:14], *w[6:14]]), None, "fine", " ".join(w[2:12])] * 2
+    docs = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")
+    one, many = (leakage.decontaminate(docs, items, block_chars=c) for c in (10_000, 60))
+    assert rows(one) == rows(many) and leakage.leaks(many, items).count() == 0 and many.count() == 10
+
+
+def test_a_long_item_is_read_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "CHUNK_WORDS", 7)
+    w = [f"w{i}" for i in range(40)]
+    docs = [" ".join(["x", *w[i : i + 10], "y"]) for i in range(31)] + [" ".join(w[:9])]
+    assert _leak(spark, docs, [(1, " ".join(w))]) == sorted(range(31), key=str)
+
+
 def test_cut_documents_leak_no_more(spark):
     items = spark.createDataFrame([(7, "we saw a well known example of nine curators at work in Höfen today")], "item_id long, text string")
     texts = [
