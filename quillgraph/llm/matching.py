@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import math
-import re
-import unicodedata
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.llm import names as N
+from quillgraph.llm.names import CONFLICT, FULL, INITIAL, NOTHING, ONE
 from quillgraph.operators.skew import known_hot, skew_join
 from quillgraph.runtime import Stage
 
@@ -19,252 +15,121 @@ from quillgraph.runtime import Stage
 GAP_CAP = 12.0
 #: Rows of the sample the calibration is fitted on, at most.
 SAMPLE = 20_000
+#: BM25: how fast repetitions saturate, and how much longer entries are marked down.
+K1, B = 1.2, 0.75
+#: Postings lists of more entries than this are read only where their bound leaves a chance.
+SHORT_LIST = 64
+#: Terms of accounts whose lists have more than two entries are broadcast up to this number of rows.
+MOST_BROADCAST = 200_000
+#: An account of less than this share of the score of its person's best account is no near one of that person.
+NEAR_SHARE = 0.1
 # Coefficients where the sample can't be fitted (fewer than 50 rows or one outcome only).
 DEFAULT = (-1.0, 0.8)
-# Letters that no decomposition reaches, digits standing for letters.
-LETTERS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d", "ı": "i"})
-DIGITS = str.maketrans("013457", "oieast")
-
-
-def plain(text: str | None) -> str:
-    """Lower case without accents."""
-    s = unicodedata.normalize("NFKD", (text or "").lower().translate(LETTERS))
-    return "".join(c for c in s if not unicodedata.combining(c))
-
-
-def person(name: str | None) -> tuple[str, str]:
-    """(given name or its initial, surname) of a person; either may be empty."""
-    s = plain(name)
-    if "," in s:
-        last, first = s.split(",", 1)
-        s = f"{first} {last}"
-    t = re.findall(r"[a-z]+", s)
-    return (t[0], t[-1]) if len(t) > 1 else ("", t[0] if t else "")
-
-
-def name_parts(name: str | None) -> list[str]:
-    """Words of an account's name, given name first; what stands in brackets or behind a bar is left out."""
-    s = re.sub(r"\(.*?\)|\|.*", " ", plain(name))
-    if re.search(r"\d", s):
-        return handle_parts(s)
-    s = re.sub(r"\b(?:dr|prof|phd|msc)\b\.?", " ", s).strip(" ,")
-    if "," in s:
-        last, first = s.split(",", 1)
-        s = f"{first} {last}"
-    return re.findall(r"[a-z]+", s)
-
-
-def handle_parts(handle: str | None) -> list[str]:
-    """Words of a user name or of the local part of an address; digits inside a word are read as letters."""
-    s = re.sub(r"\d+$|^\d+(?=[a-z])(?![a-z]\d)", "", plain(handle).strip())
-    s = re.sub(r"(?<=[a-z])\d|\d(?=[a-z])", lambda m: m.group().translate(DIGITS), s)
-    return re.findall(r"[a-z]+", re.sub(r"\d", lambda m: m.group().translate(DIGITS), s))
-
-
-def mail_parts(mail: str | None) -> list[str]:
-    s = re.sub(r"\s*\[at\]\s*", "@", re.sub(r"\s*\[dot\]\s*", ".", plain(mail)))
-    local = s.split("@", 1)[0] if "@" in s else ""
-    return handle_parts(local.split("+", 1)[1] if re.match(r"\d+\+", local) else local)
-
-
-def _less(word: str) -> set[str]:
-    """The word and every form with one letter left out: two words of one slip of the pen share one of these."""
-    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))} if len(word) > 4 else {word}
-
-
-def name_terms(given: str, last: str) -> set[str]:
-    """Index terms: both names (n:), joined in either order, whole or as initial (k:), and initial with
-    each form of the surname that lacks one letter (e:)."""
-    if not last:
-        return set()
-    terms = {f"n:{last}"}
-    if given:
-        terms |= {f"k:{given}{last}", f"k:{last}{given}", f"k:{given[0]}{last}", f"k:{last}{given[0]}"} | {f"e:{given[0]}|{w}" for w in _less(last)}
-        terms |= {f"n:{given}"} if len(given) > 1 else set()
-    return terms
-
-
-def account_terms(parts: list[str], slips: bool = False) -> set[str]:
-    """Query terms of one attribute; with `slips`, also those for a misspelt surname."""
-    terms = {f"n:{p}" for p in parts if len(p) > 1}
-    if len(parts) == 1 and len(parts[0]) > 3:
-        terms.add(f"k:{parts[0]}")
-    for i, x in enumerate(parts):
-        for y in parts[i + 1 :]:
-            if len(x) + len(y) > 2:
-                terms |= {f"k:{x}{y}"} | ({f"k:{x[0]}{y}"} if len(y) > 1 else set()) | ({f"k:{x}{y[0]}"} if len(x) > 1 else set())
-                if slips:
-                    terms |= {f"e:{x[0]}|{w}" for w in _less(y) if len(y) > 4} | {f"e:{y[0]}|{w}" for w in _less(x) if len(x) > 4}
-    return terms
-
-
-def _near(a: str, b: str) -> bool:
-    """Equal, or one slip apart (a letter more, less, other, or two swapped) in words of five letters or more."""
-    if a == b:
-        return True
-    if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < 5:
-        return False
-    i = 0
-    while i < min(len(a), len(b)) and a[i] == b[i]:
-        i += 1
-    return a[i + 1 :] == b[i + 1 :] or a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
-
 
-# What an attribute says of a person: CONFLICT, nothing, one of the names, initial and surname, both names.
-CONFLICT, NOTHING, ONE, INITIAL, FULL = -1, 0, 1, 2, 3
+_MAKES_PAIRS = ["k:", "e:"]
 
 
-def says(parts: list[str], given: str, last: str, prose: bool) -> int:
-    """What the words of one attribute say about being the person (given, last). `prose`: it is a name,
-    so words that aren't the person's are another's; a handle may be anything."""
-    if not parts or not last:
-        return NOTHING
-    if len(parts) == 1:
-        p = parts[0]
-        if given and p in (given + last, last + given):
-            return FULL if len(given) > 1 else INITIAL
-        if given and p in (given[0] + last, last + given[0]):
-            return INITIAL
-        if p == last or p == given and len(given) > 1:
-            return ONE
-        if len(p) == 1:
-            return CONFLICT if prose and p not in (given[:1], last[:1]) else NOTHING
-        if len(p) == len(last) + 1 and (p.endswith(last) or p.startswith(last)):
-            return CONFLICT
-        if len(given) == 1 and p.endswith(last) and p.startswith(given) or len(given) == 1 and p.startswith(last) and p[len(last)] == given:
-            return INITIAL
-        return CONFLICT if prose and len(given) > 1 else NOTHING
-    at = [i for i, p in enumerate(parts) if p == last] or [i for i, p in enumerate(parts) if prose and _near(p, last)]
-    if at:
-        rest = [p for i, p in enumerate(parts) if i != at[-1]]
-        if not given:
-            return ONE
-        if any(p == given for p in rest):
-            return FULL if len(given) > 1 else INITIAL
-        whole = [p for p in rest if len(p) > 1]
-        if len(given) == 1:
-            return INITIAL if any(p[0] == given for p in whole) or given in rest else CONFLICT
-        if whole:
-            return CONFLICT
-        return INITIAL if given[0] in rest else CONFLICT
-    if len(given) > 1 and given in parts:
-        return ONE if any(len(p) == 1 and p == last[0] for p in parts) and len(parts) == 2 else CONFLICT
-    return CONFLICT if prose else NOTHING
+def _makes_pair(term: Column) -> Column:
+    """Whether a term holds both names; a pair that shares no such term can't be eligible."""
+    return F.substring(term, 1, 2).isin(_MAKES_PAIRS)
 
 
-def _attributes(username, name, email) -> tuple[list[str], list[str], list[str]]:
-    return handle_parts(username), name_parts(name), mail_parts(email)
+class _Index:
+    """Inverted index over the persons, weighted by BM25, and the weighted terms of the accounts.
 
-
-def _term_rows(schema: pa.Schema, make):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [r for values in zip(*(c.to_pylist() for c in b.columns)) for r in make(*values)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
-
-    return run
-
-
-def person_keys(given: str, last: str) -> set[str]:
-    """Keys under which every account is found that some attribute ties to initial and surname at least."""
-    if not given or not last:
-        return set()
-    first = given[0]
-    keys = {f"k:{w}" for w in (given + last, last + given, first + last, last + first)} | {f"f:{given}|{w}" for w in _less(last)}
-    return keys | ({f"g:{first}|{w}" for w in _less(last)} if len(given) > 1 else {f"i:{given}|{last}"})
-
-
-def account_keys(u: list[str], n: list[str], m: list[str], prose: bool) -> set[str]:
-    """The counterpart of `person_keys`, one kind of key for each way in which `says` and `_checked` come to
-    INITIAL or FULL: one word of both names (k:), of a lone initial and what may be a surname (i:), two words (f:, and
-    g: where the account has the initial), a given name as the name and a surname inside a handle (f:)."""
-    keys = set()
-    for parts in (u, n, m):
-        slips = prose and parts is n
-        if len(parts) == 1:
-            p = parts[0]
-            keys.add(f"k:{p}")
-            keys |= {f"i:{p[0]}|{p[j:]}" for j in range(len(p))} | {f"i:{p[j]}|{p[:j]}" for j in range(1, len(p))}
-        for i, x in enumerate(parts):
-            for j, y in enumerate(parts):
-                if i != j:
-                    for w in _less(y) if slips else {y}:
-                        keys |= {f"f:{x}|{w}", f"f:{x[0]}|{w}"} | ({f"g:{x}|{w}"} if len(x) == 1 else set())
-    whole = [p for p in n if len(p) > 1]
-    if len(whole) == 1 and len(n) <= 2:
-        initial = "".join(p for p in n if len(p) == 1)
-        keys |= {f"f:{whole[0]}|{p[i:j]}" for p in u + m for i in range(len(p)) if p[i].startswith(initial) for j in range(i + 1, len(p) + 1)}
-    return keys
-
-
-def candidates(persons: DataFrame, accounts: DataFrame, stage: Stage) -> DataFrame:
-    """(account, person, n, score, score_handle): BM25 over all attributes of every pair that can be eligible.
-
-    Persons of one given name and surname have the same terms, scores and levels, so they are one row,
-    under the smallest id, with their number `n`; document frequencies count persons. Each term stands
-    once in a person's entry and length is not normalised (b = 0), so a term adds its inverse document
-    frequency. Pairs are found by `person_keys`, which hold both names, whatever the frequency of
-    the name: no eligible person is left out, and what grows is the number of different given names only.
+    `persons` has (id, name), `accounts` (account, u, name_words, m, as_handle).
     """
-    split = _term_rows(pa.schema([("person", pa.int64()), ("given", pa.string()), ("last", pa.string())]), lambda i, n: [(i, *person(n))])
-    named = persons.select("id", "name").mapInArrow(split, "person long, given string, last string").where("last <> ''")
-    people = stage.save(named.groupBy("given", "last").agg(F.min("person").alias("person"), F.count(F.lit(1)).alias("n")))
-    schema = pa.schema([("person", pa.int64()), ("n", pa.int64()), ("term", pa.string())])
-    index = _term_rows(schema, lambda i, n, given, last: [(i, n, t) for t in sorted(name_terms(given, last))])
-    postings = stage.save(people.select("person", "n", "given", "last").mapInArrow(index, "person long, n long, term string"))
-
-    def queries(i, username, name, email):
-        u, n, m = _attributes(username, name, email)
-        handle = account_terms(u) | account_terms(m)
-        both = handle | account_terms(n, slips=True)
-        return [(i, t, t in handle) for t in sorted(both)]
 
-    asked = _term_rows(pa.schema([("account", pa.int64()), ("term", pa.string()), ("handle", pa.bool_())]), queries)
-    wanted = stage.save(accounts.mapInArrow(asked, "account long, term string, handle boolean"))
-    n_persons = persons.count()
-    df = postings.groupBy("term").agg(F.sum("n").alias("df"))
-    idf = F.log(1 + (F.lit(float(n_persons)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = stage.save(df.select("term", idf.alias("idf")))
-    hot_asked = known_hot(wanted, ["term"])
-    weighted = stage.save(skew_join(wanted, weights, ["term"], hot=hot_asked))
-    # All keys of a person, and of an account, that can make an eligible pair.
-    keys = lambda i, given, last: [(i, k) for k in sorted(person_keys(given, last))]
-    asks = lambda i, username, name, email: [(i, k) for k in sorted(account_keys(*_attributes(username, name, email), not re.search(r"\d", name or "")))]
-    key_rows = lambda side, make: _term_rows(pa.schema([(side, pa.int64()), ("key", pa.string())]), make)
-    person_side = stage.save(people.select("person", "given", "last").mapInArrow(key_rows("person", keys), "person long, key string"))
-    account_side = stage.save(accounts.mapInArrow(key_rows("account", asks), "account long, key string"))
-    found = skew_join(account_side, person_side, ["key"], hot=known_hot(account_side, ["key"])).select("account", "person").distinct()
-    found = stage.save(found)
-    # All terms of an account and of a person are few; the score of a pair is their common part.
-    terms = weighted.groupBy("account").agg(F.collect_list(F.struct("term", "idf", "handle")).alias("asked"))
-    entries = postings.groupBy("person").agg(F.first("n").alias("n"), F.collect_list("term").alias("entry"))
-    pairs = found.join(terms, "account").join(entries, "person")
-    common = F.filter("asked", lambda t: F.array_contains(F.col("entry"), t["term"]))
-    # One slip shares several forms: they count once, with the best.
-    once = lambda rows: F.aggregate(F.filter(rows, lambda t: ~t["term"].startswith("e:")), F.lit(0.0), lambda s, t: s + t["idf"]) + F.coalesce(F.array_max(F.transform(F.filter(rows, lambda t: t["term"].startswith("e:")), lambda t: t["idf"])), F.lit(0.0))
-    return stage.save(pairs.select("account", "person", "n", once(common).alias("score"), once(F.filter(common, lambda t: t["handle"])).alias("score_handle")))
-
-
-def _checked(pairs: DataFrame, persons: DataFrame, accounts: DataFrame) -> DataFrame:
-    """The pairs with `level` and `level_name`, `level_handle`: what all attributes, the name, the handles say."""
-    wide = pairs.join(persons.withColumnRenamed("id", "person").withColumnRenamed("name", "person_name"), "person").join(accounts.withColumnRenamed("id", "account"), "account")
-    wide = wide.select("account", "person", "n", "score", "score_handle", "person_name", "username", "name", "email")
-    out = pa.schema([("account", pa.int64()), ("person", pa.int64()), ("n", pa.int64()), ("score", pa.float64()), ("score_handle", pa.float64()), ("level", pa.int32()), ("level_name", pa.int32()), ("level_handle", pa.int32())])
-
-    def check(account, person_, n_same, score, score_handle, person_name, username, name, email):
-        given, last = person(person_name)
-        u, n, m = _attributes(username, name, email)
-        # A name with digits is a handle that stands in the wrong field.
-        as_handle = bool(re.search(r"\d", name or ""))
-        named = NOTHING if as_handle or n == u else says(n, given, last, True)
-        handles = [says(u, given, last, False), says(m, given, last, False), says(n, given, last, False) if as_handle else NOTHING]
-        handle = CONFLICT if CONFLICT in handles else max(handles)
-        both = CONFLICT if CONFLICT in (named, handle) else max(named, handle)
-        if both == ONE and len(given) > 1 and given in n and any(last in p for p in u + m):
-            both = FULL
-        return [(account, person_, n_same, score, score_handle, both, named, handle)]
-
-    return wide.mapInArrow(_term_rows(out, check), "account long, person long, n long, score double, score_handle double, level int, level_name int, level_handle int")
+    def __init__(self, stage: Stage, persons: DataFrame, accounts: DataFrame, k1: float, b: float):
+        self.accounts = accounts
+        named = persons.select("id", N.person(F.col("name")).alias("p")).select("id", "p.*").where("last <> ''")
+        # Persons of one given name and surname have the same terms, scores and levels: they are one entry of `n_same` persons, under the least id.
+        length = F.when(F.col("given") == "", 1).otherwise(2)
+        people = named.groupBy("given", "last").agg(F.min("id").alias("person"), F.count(F.lit(1)).alias("n_same"))
+        self.people, _, total, words = stage.save_counted(people.withColumn("length", length), F.sum("n_same"), F.sum(F.col("n_same") * F.col("length")))
+        mean = words / total if total else 1.0
+        # A term stands once in an entry, so an entry's weight is idf times what its length leaves of it.
+        self.left = (k1 + 1) / (1 + k1 * (1 - b + b * F.col("length") / mean))
+        self.postings = stage.save(self.people.select("person", "n_same", "length", F.explode(N.person_terms(F.col("given"), F.col("last"))).alias("term")))
+        makes = _makes_pair(F.col("term"))
+        person = F.when(makes, F.col("person"))
+        # Most lists that make pairs have one or two entries: these are the least and the greatest, and stand with the list.
+        lists = self.postings.groupBy("term").agg(F.sum("n_same").alias("df"), F.min("length").alias("length"), F.count(person).alias("entries"), F.min(person).alias("one"), F.max(person).alias("other"))
+        idf = F.log(1 + (F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        lists = lists.select("term", "entries", "one", "other", idf.alias("idf"), (idf * self.left).alias("bound"))  # the bound of a list: the weight of its shortest entry
+        handle = F.array_distinct(F.concat(N.attribute_terms(F.col("u")), N.attribute_terms(F.col("m"))))
+        name = F.concat(N.attribute_terms(F.col("name_words"), slips=True), N.cross_terms(F.col("name_words"), F.concat("u", "m")))
+        asked = accounts.select("account", handle.alias("handle"), F.array_distinct(name).alias("name"))
+        flagged = lambda terms, of: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(of).alias("handle")))
+        asked = asked.select("account", F.inline(F.concat(flagged("handle", True), flagged(F.array_except("name", "handle"), False))))
+        asked, n_asked = stage.save_counted(asked)
+        self.hot = known_hot(asked, ["term"], n_asked)
+        over = lambda n: F.sum((F.col("entries") > n).cast("long"))
+        self.weighted, _, self.n_many, self.n_long = stage.save_counted(skew_join(asked, lists, ["term"], hot=self.hot), over(2), over(SHORT_LIST))
+
+    def found(self, terms: DataFrame) -> DataFrame:
+        """(account, person) of the entries in the postings lists of `terms`, rows of `weighted`."""
+        few = terms.where("entries <= 2").select("account", F.explode(F.array("one", "other")).alias("person"))
+        many = terms.where("entries > 2").select("account", "term")
+        lists = self.postings.where(_makes_pair(F.col("term"))).select("term", "person")
+        rest = lists.join(F.broadcast(many), "term") if self.n_many <= MOST_BROADCAST else skew_join(many, lists, ["term"], hot=self.hot)
+        return few.unionByName(rest.select("account", "person")).distinct()
+
+    def scored(self, pairs: DataFrame) -> DataFrame:
+        """The pairs with BM25 `score` and `score_handle`, and `level`, `level_name` and `level_handle`: what
+        all attributes, the name, the handles say."""
+        terms = self.weighted.groupBy("account").agg(F.collect_list(F.struct("term", "idf", "handle")).alias("asked"))  # terms of one account
+        wide = pairs.join(self.people, "person").join(terms, "account").join(self.accounts, "account")
+        given, last, u, m, words = (F.col(c) for c in ("given", "last", "u", "m", "name_words"))
+        wide = wide.withColumn("entry", N.person_terms(given, last)).withColumn("common", F.filter("asked", lambda t: F.array_contains(F.col("entry"), t["term"])))
+
+        def score(rows: Column) -> Column:
+            # One slip shares several forms: they count once, with the best.
+            slip = lambda t: t["term"].startswith("e:")
+            sure = F.aggregate(F.filter(rows, lambda t: ~slip(t)), F.lit(0.0), lambda s, t: s + t["idf"])
+            return self.left * (sure + F.coalesce(F.array_max(F.transform(F.filter(rows, slip), lambda t: t["idf"])), F.lit(0.0)))
+
+        nothing, no = F.lit(NOTHING), F.lit(False)
+        wide = wide.select(
+            "account", "person", "n_same", score(F.col("common")).alias("score"), score(F.filter("common", lambda t: t["handle"])).alias("score_handle"),
+            F.when(F.col("as_handle") | (words == u), nothing).otherwise(N.says(words, given, last, F.lit(True))).alias("level_name"),
+            N.says(u, given, last, no).alias("by_u"), N.says(m, given, last, no).alias("by_m"), F.when(F.col("as_handle"), N.says(words, given, last, no)).otherwise(nothing).alias("by_n"),
+            # The given name as the name, and the surname inside a handle.
+            ((F.length(given) > 1) & F.array_contains(words, given) & F.exists(F.concat(u, m), lambda p: F.contains(p, last))).alias("apart"),
+        )
+        conflict = F.lit(CONFLICT)
+        wide = wide.withColumn("level_handle", F.when(F.least("by_u", "by_m", "by_n") == conflict, conflict).otherwise(F.greatest("by_u", "by_m", "by_n")))
+        level = F.when(F.least("level_name", "level_handle") == conflict, conflict).otherwise(F.greatest("level_name", "level_handle"))
+        wide = wide.withColumn("level", F.when((level == ONE) & F.col("apart"), FULL).otherwise(level))
+        return wide.select("account", "person", "n_same", "score", "score_handle", "level", "level_name", "level_handle")
+
+
+def _nearest(rows: DataFrame, score: str) -> DataFrame:
+    """The best person of each account with the score of the `next` one, namesakes being next to each other."""
+    w = Window.partitionBy("account").orderBy(F.col(score).desc(), F.col("person"))
+    second = F.when(F.col("n_same") > 1, F.col(score)).otherwise(F.coalesce(F.lead(score).over(w), F.lit(0.0)))
+    return rows.withColumns({"rank": F.row_number().over(w), "next": second}).where("rank = 1").drop("rank")
+
+
+def candidates(index: _Index, stage: Stage, short_list: int = SHORT_LIST) -> DataFrame:
+    """All pairs, scored, that can be among the two best eligible persons of an account.
+
+    An eligible pair shares a term of both names (k: or e:), so only these lists are read (the others
+    count as empty): first the short ones. A pair in long lists only scores no more than the bounds of the account's long lists and
+    single names together; where that is no more than the second best score found, the long lists
+    can't change the two best, and are not read for that account. No eligible pair is lost by a cut.
+    """
+    first = stage.save(index.scored(index.found(index.weighted.where(F.col("entries").between(1, short_list)))))
+    if not index.n_long and short_list == SHORT_LIST:
+        return first
+    second = _nearest(first.where(f"level >= {INITIAL}"), "score").select("account", F.col("next").alias("second"))
+    slip = F.col("term").startswith("e:")
+    open_ = index.weighted.where((F.col("entries") == 0) | (F.col("entries") > short_list)).groupBy("account").agg(
+        (F.coalesce(F.sum(F.when(~slip, F.col("bound"))), F.lit(0.0)) + F.coalesce(F.max(F.when(slip, F.col("bound"))), F.lit(0.0))).alias("most"), F.max("entries").alias("long")
+    )
+    unsure = open_.where("long > 0").join(second, "account", "left").where("second is null or most > second").select("account")
+    more = index.found(index.weighted.where(F.col("entries") > short_list).join(unsure, "account", "left_semi")).join(first.select("account", "person"), ["account", "person"], "left_anti")
+    return first.unionByName(stage.save(index.scored(more)))
 
 
 def _logistic(rows: np.ndarray) -> tuple[float, float]:
@@ -282,41 +147,42 @@ def _logistic(rows: np.ndarray) -> tuple[float, float]:
     return float(b[0]), float(b[1])
 
 
-def match_people(persons: DataFrame, accounts: DataFrame, *, least_confidence: float = 0.5) -> DataFrame:
+def match_people(persons: DataFrame, accounts: DataFrame, *, least_confidence: float = 0.5, k1: float = K1, b: float = B, near_share: float = NEAR_SHARE, short_list: int = SHORT_LIST) -> DataFrame:
     """(researcher_id, developer_account_id, confidence, score, gap, level) of pairs that are one person.
 
     `persons` has (id, name), `accounts` (id, username, name, email). An account's nearest person is
     the best by BM25 over the terms of all attributes among those whom no attribute contradicts (a
-    different given name, another initial) and with whom at least initial and surname agree. The gap to the next
-    eligible person gives the confidence through a logistic curve
-    that is fitted on the accounts that have both a name and a telling handle: what the handles alone
-    would find is held against the name (at most SAMPLE rows, the first by hash). Every account
-    that passes is its nearest person's, however many that person has: the number of others says nothing against one.
-
-    Defined cases: null or empty attributes say nothing; a record with no name and no telling handle
-    matches nobody; namesakes tie, so none of them is matched; repeated rows of one id count once;
-    ties of accounts go to the smaller id; empty tables give no rows; further columns are ignored.
-
-    Scale: candidates are joined by keys of both names, hot keys by broadcast, over different names rather than
-    persons; nothing but the bounded sample, hot keys and counts reaches the driver.
+    different given name, another initial) and with whom at least initial and surname agree. The pair
+    is mutual if the account is also a near one of that person: of at least `near_share` of the score of
+    its best account, however many it has. The gap to the next eligible person gives the confidence
+    through a logistic curve that is fitted on the accounts that have both a name and a telling handle:
+    what the handles alone would find is held against the name (at most SAMPLE rows, the first by hash).
+
+    Defined cases: null or empty attributes say nothing, nor do those of more than MOST_WORDS words; a
+    record with no name and no telling handle matches nobody; namesakes tie, so none of them is
+    matched; repeated rows of one id count once; ties go to the smaller id; empty tables give no rows;
+    further columns are ignored.
+
+    Scale: words, terms and levels are native expressions; the index is over different names rather
+    than persons; long postings lists are read only for accounts whose bound leaves them a chance
+    (`candidates`); hot terms meet their lists in a bounded broadcast; nothing but the bounded sample,
+    hot keys and counts reaches the driver.
     """
     stage = Stage(persons.sparkSession)
-    persons = stage.save(persons.select(F.col("id").cast("long").alias("id"), "name").where("id is not null").dropDuplicates(["id"]))
-    accounts = stage.save(accounts.select(F.col("id").cast("long").alias("id"), "username", "name", "email").where("id is not null").dropDuplicates(["id"]))
-    checked = stage.save(_checked(candidates(persons, accounts, stage), persons, accounts))
-
-    def ranked(rows: DataFrame, score: str) -> DataFrame:
-        w = Window.partitionBy("account").orderBy(F.col(score).desc(), F.col("person"))
-        second = F.when(F.col("n") > 1, F.col(score)).otherwise(F.coalesce(F.lead(score).over(w), F.lit(0.0)))
-        rows = rows.withColumn("rank", F.row_number().over(w)).withColumn("next", second).where("rank = 1")
-        gap = F.least(F.col(score) - F.col("next"), F.lit(GAP_CAP))
-        return rows.withColumn("gap", F.greatest(gap, F.lit(0.0)))
-
-    trial = ranked(checked.where(f"level_handle >= {INITIAL}"), "score_handle").where(f"level_name = {CONFLICT} or level_name >= {INITIAL}")
-    sample = trial.select("gap", (F.col("level_name") >= INITIAL).cast("double").alias("right")).orderBy(F.xxhash64("account", F.lit(7))).limit(SAMPLE)
-    a, b = _logistic(np.array([tuple(r) for r in sample.collect()], float).reshape(-1, 2))
-    best = ranked(checked.where(f"level >= {INITIAL}"), "score")
-    best = best.withColumn("confidence", 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("gap")))))
+    persons = persons.select(F.col("id").cast("long").alias("id"), "name").where("id is not null").dropDuplicates(["id"])
+    accounts = accounts.select(F.col("id").cast("long").alias("account"), "username", "name", "email").where("account is not null").dropDuplicates(["account"])
+    parts = N.handle_parts(N.plain(F.col("username"))).alias("u"), N.name_parts(F.col("name")).alias("name_words"), N.mail_parts(F.col("email")).alias("m")
+    accounts = stage.save(accounts.select("account", *parts, N.has_digits(F.col("name")).alias("as_handle")))
+    checked = candidates(_Index(stage, persons, accounts, k1, b), stage, short_list)
+
+    gap = F.greatest(F.least(F.col("score") - F.col("next"), F.lit(GAP_CAP)), F.lit(0.0))
+    trial = _nearest(checked.where(f"level_handle >= {INITIAL}").withColumn("score", F.col("score_handle")), "score").where(f"level_name = {CONFLICT} or level_name >= {INITIAL}")
+    sample = trial.select(gap.alias("gap"), (F.col("level_name") >= INITIAL).cast("double").alias("right")).orderBy(F.xxhash64("account", F.lit(7))).limit(SAMPLE)
+    c0, c1 = _logistic(np.array([tuple(r) for r in sample.collect()], float).reshape(-1, 2))
+    best, n_best = stage.save_counted(_nearest(checked.where(f"level >= {INITIAL}"), "score").withColumn("gap", gap))
+    best_of = best.groupBy("person").agg(F.max("score").alias("top"))
+    best = skew_join(best, best_of, ["person"], total=n_best).where(F.col("score") >= F.lit(near_share) * F.col("top"))
+    best = best.withColumn("confidence", 1 / (1 + F.exp(-(F.lit(c0) + F.lit(c1) * F.col("gap")))))
     return best.where((F.col("gap") > 0) & (F.col("confidence") >= least_confidence)).select(
         F.col("person").alias("researcher_id"), F.col("account").alias("developer_account_id"), "confidence", "score", "gap", "level"
     )
