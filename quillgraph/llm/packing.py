@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.lookalikes import slices
+from quillgraph.runtime import Stage
 
 CAPACITY = 2048
 #: Vocabulary of a public byte-level tokenizer, as ranks.
@@ -35,11 +36,14 @@ def encoder(path: str):
 class Bm25:
     """Inverted index of one shard: for each token the texts that hold it, with their BM25 weights.
 
-    A token that stands in more than half of the texts has no positive inverse document frequency in
-    the Robertson form, so it weighs nothing and has no postings.
+    `idf` and the `mean` length are those of all texts, so a token weighs the same in every shard. A token
+    that stands in more than half of all texts has no positive inverse document frequency in the
+    Robertson form, so it weighs nothing and has no postings.
     """
 
-    def __init__(self, doc: np.ndarray, token: np.ndarray, n_docs: int, lengths: np.ndarray):
+    def __init__(self, doc: np.ndarray, token: np.ndarray, n_docs: int, lengths: np.ndarray, idf: np.ndarray, mean: float):
+        keep = idf[token] > 0
+        doc, token = doc[keep], token[keep]
         order = np.argsort(token.astype(np.int64) * n_docs + doc, kind="stable")
         key = token.astype(np.int64)[order] * n_docs + doc[order]
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
@@ -48,11 +52,8 @@ class Bm25:
         token, doc = key // n_docs, key % n_docs
         heads = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
         df = np.diff(np.append(heads, len(token)))
-        idf = np.log((n_docs - df + 0.5) / (df + 0.5))
-        keep = np.repeat(idf > 0, df)
-        w = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / max(1.0, lengths.mean())))
-        self.n, self.doc, self.weight = n_docs, doc[keep], w[keep].astype(np.float32)
-        df = df[idf > 0]
+        w = idf[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / max(1.0, mean)))
+        self.n, self.doc, self.weight = n_docs, doc, w.astype(np.float32)
         ends = np.cumsum(df)
         self.first, self.last = ends - df, ends
         # The same by text: which postings lists it is in.
@@ -113,81 +114,134 @@ def pack(sizes: np.ndarray, index: Bm25, capacity: int) -> list[list[int]]:
 
 
 OUT = pa.schema([("container_id", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("n_pieces", pa.int32()), ("first_token", pa.int64()), ("n_tokens", pa.int64()), ("position", pa.int32())])
+_OUT_SQL = "container_id long, doc_id long, piece int, n_pieces int, first_token long, n_tokens long, position int"
+# A row per piece with its tokens, and rows of how many pieces of a task hold a token.
+_PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("n_pieces", pa.int32()), ("first_token", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.binary()), ("token", pa.int32()), ("n_held", pa.int64())])
+_PIECES_SQL = "doc_id long, piece int, n_pieces int, first_token long, n_tokens long, tokens binary, token int, n_held long"
 
 
-def _shard(ids: list[int], tokens: list[np.ndarray], capacity: int) -> tuple[list[tuple], int]:
-    """Rows of one shard as in OUT, container numbers from 0, and how many containers there are."""
-    item_doc, piece, first, size = [], [], [], []
-    for d, t in enumerate(tokens):
-        for k in range(0, len(t), capacity):
-            item_doc.append(d)
-            piece.append(k // capacity)
-            first.append(k)
-            size.append(min(capacity, len(t) - k))
-    rows = [(None, i, 0, 1, 0, 0, 0) for i, t in zip(ids, tokens) if not len(t)]
-    if not size:
-        return rows, 0
-    size_ = np.array(size, np.int64)
-    parts = [tokens[d][f : f + s] for d, f, s in zip(item_doc, first, size)]
-    index = Bm25(np.repeat(np.arange(len(parts)), size_), np.concatenate(parts), len(parts), size_.astype(np.float64))
-    boxes = pack(size_, index, capacity)
-    for c, box in enumerate(boxes):
-        for p, x in enumerate(box):
-            d = item_doc[x]
-            rows.append((c, ids[d], piece[x], -(-len(tokens[d]) // capacity), first[x], size[x], p))
-    return rows, len(boxes)
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema)], schema=schema)
 
 
-def fill_containers(documents: DataFrame, *, capacity: int = CAPACITY, ranks: str = RANKS, shard: int = SHARD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Assignment of texts to containers of `capacity` tokens.
+def _tokenised(ranks: str, capacity: int):
+    """Function for mapInArrow: (id, text) to rows of _PIECES."""
 
-    Columns: container_id, doc_id, piece (0 unless the text is longer than a container), n_pieces,
-    first_token and n_tokens of the piece in its text, position in the container. Each partition of
-    the scan is cut into shards of `shard` texts; a shard has a BM25 inverted index over its tokens.
-    The largest unused text seeds a container, its unused neighbours fill it by score, and what room
-    is left takes the largest unused texts that fit. Only a text longer than a container is split,
-    into full containers and a rest that is packed like a text.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(ranks)
+        held = np.zeros(0, np.int64)
+        for b in (part for whole in batches for part in slices(whole)):
+            rows, seen = [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                tokens = np.array(enc.encode_ordinary(t), np.uint32) if t else np.zeros(0, np.uint32)
+                n = -(-len(tokens) // capacity)
+                for k in range(max(1, n)):
+                    part = tokens[k * capacity : (k + 1) * capacity]
+                    rows.append((i, k, max(1, n), k * capacity, len(part), part.tobytes(), None, None))
+                    seen.append(np.unique(part))
+            if seen:
+                counts = np.bincount(np.concatenate(seen).astype(np.int64), minlength=len(held))
+                counts[: len(held)] += held
+                held = counts
+            yield _table(rows, _PIECES)
+        at = np.flatnonzero(held)
+        for k in range(0, len(at), 10_000):
+            yield _table([(None,) * 6 + (int(t), int(held[t])) for t in at[k : k + 10_000]], _PIECES)
+
+    return run
+
+
+def _keyed(shared, mean: float):
+    """Function for mapInArrow: pieces with `route`, the token that weighs most in the piece among those that other pieces hold too."""
 
-    Defined cases: null and empty texts hold no tokens and come out once, with container_id null;
-    rows whose id is null keep it; an id that repeats is packed as often; strings that name special
-    tokens are ordinary text; an empty table gives no rows; further columns are ignored.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, alone = shared.value
+        for b in batches:
+            routes = []
+            for raw in b.column("tokens").to_pylist():
+                token, tf = np.unique(np.frombuffer(raw, np.uint32), return_counts=True)
+                w = np.where(alone[token], 0.0, idf[token]) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * tf.sum() / max(1.0, mean)))
+                routes.append(int(token[np.argmax(w)]) if len(w) and w.max() > 0 else -1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(routes, pa.int32())], [*b.schema.names, "route"])
 
-    Scale: one scan without a shuffle. A task holds one shard of tokens, whatever the size of its
-    partition; a shard also ends at 2,000 containers' worth of tokens, so long texts can't grow it.
-    Containers are numbered within the scan's partition, so a task that runs again on another
-    executor gives the same rows. `ranks` must be readable at that path by all executors.
-    """
-    source = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    return run
+
+
+def _packed(shared, mean: float, capacity: int, shard: int):
+    """Function for mapInArrow: containers of the pieces of a partition, shard by shard in their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, base = encoder(ranks), TaskContext.get().partitionId() << 36
-        ids: list[int] = []
-        tokens: list[np.ndarray] = []
+        idf, base = shared.value[0], TaskContext.get().partitionId() << 36
+        rows: list[dict] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal base
-            rows, n = _shard(ids, tokens, capacity)
-            at = base
-            base += n
-            cols = list(zip(*rows)) if rows else [()] * len(OUT)
-            cols[0] = [None if c is None else at + c for c in cols[0]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, OUT)], schema=OUT)
-
-        for b in (part for whole in batches for part in slices(whole)):
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids.append(i)
-                tokens.append(np.array(enc.encode_ordinary(t), np.uint32) if t else np.zeros(0, np.uint32))
-                held += len(tokens[-1])
-                if len(ids) >= shard or held >= 2000 * capacity:
+            parts = [np.frombuffer(r["tokens"], np.uint32) for r in rows]
+            size = np.array([len(t) for t in parts], np.int64)
+            index = Bm25(np.repeat(np.arange(len(parts)), size), np.concatenate(parts), len(parts), size.astype(np.float64), idf, mean)
+            out = []
+            for c, box in enumerate(boxes := pack(size, index, capacity)):
+                out += [(base + c, rows[x]["doc_id"], rows[x]["piece"], rows[x]["n_pieces"], rows[x]["first_token"], rows[x]["n_tokens"], p) for p, x in enumerate(box)]
+            base += len(boxes)
+            return _table(out, OUT)
+
+        for b in batches:
+            for r in b.to_pylist():
+                rows.append(r)
+                held += r["n_tokens"]
+                if len(rows) >= shard or held >= 2000 * capacity:
                     yield flush()
-                    ids, tokens, held = [], [], 0
-        if ids:
+                    rows, held = [], 0
+        if rows:
             yield flush()
 
-    return source.mapInArrow(run, "container_id long, doc_id long, piece int, n_pieces int, first_token long, n_tokens long, position int")
+    return run
+
+
+def fill_containers(documents: DataFrame, *, capacity: int = CAPACITY, ranks: str = RANKS, shard: int = SHARD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Assignment of texts to containers of `capacity` tokens.
+
+    Columns: container_id, doc_id, piece (0 unless the text is longer than a container), n_pieces,
+    first_token and n_tokens of the piece in its text, position in the container. Only a text longer
+    than a container is split, into full containers and a rest that is packed like a text. Inverse
+    document frequencies and the mean length are counted over all pieces. Each piece is sent to the
+    shard of the token that weighs most in it by BM25, among the tokens that other pieces hold too, so
+    texts about the same rare thing meet; a shard of `shard` pieces has an inverted index over its
+    tokens. The largest unused piece seeds a container, its unused neighbours fill it by score, and
+    what room is left takes the largest unused pieces that fit.
+
+    Defined cases: null and empty texts hold no tokens and come out once, with container_id null;
+    rows whose id is null keep it; an id that repeats is packed as often; strings that name special
+    tokens are ordinary text; an empty table gives no rows; further columns are ignored.
+
+    Scale: texts are tokenised once and written as numbers, which one shuffle sorts by route; ranges are
+    cut by route, id and piece, so a route that very many pieces have is split over tasks. A task
+    holds one shard, which also ends at 2,000 containers' worth of tokens. The driver sees counts per
+    token, as many as the vocabulary has, and sends them to the tasks. `ranks` must be readable at that
+    path by all executors.
+    """
+    spark = documents.sparkSession
+    stage = Stage(spark)
+    source = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    full = F.col("token").isNull() & (F.col("n_tokens") > 0)
+    rows, _, n_pieces, n_tokens = stage.save_counted(source.mapInArrow(_tokenised(ranks, capacity), _PIECES_SQL), F.sum(full.cast("long")), F.sum(F.when(full, F.col("n_tokens")).otherwise(0)))
+    held = rows.where("token is not null").groupBy("token").agg(F.sum("n_held").alias("n")).collect()  # a row per token of the vocabulary at most
+    df = np.zeros(max([r["token"] for r in held], default=0) + 1, np.int64)
+    for r in held:
+        df[r["token"]] = r["n"]
+    mean = n_tokens / n_pieces if n_pieces else 1.0
+    shared = spark.sparkContext.broadcast((np.log((n_pieces - df + 0.5) / (df + 0.5)), df < 2))
+    pieces = rows.where("token is null").drop("token", "n_held")
+    none = pieces.where("n_tokens = 0").select(F.lit(None).cast("long").alias("container_id"), "doc_id", "piece", "n_pieces", "first_token", "n_tokens", F.lit(0).alias("position"))
+    routed = pieces.where("n_tokens > 0").mapInArrow(_keyed(shared, mean), _PIECES_SQL.replace(", token int, n_held long", ", route int"))
+    tasks = max(1, -(-n_pieces // (4 * shard)))
+    order = ["route", "doc_id", "piece", "first_token"]
+    placed = routed.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    return placed.mapInArrow(_packed(shared, mean, capacity, shard), _OUT_SQL).unionByName(none)
 
 
 def fill_report(assignment: DataFrame, capacity: int = CAPACITY) -> DataFrame:
