@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillgraph.functions.codehost import let
+
 # Opening and closing punctuation, and resolver hosts.
 OPENING = "<(\\[{\"'`“”‘’«"
 CLOSING = ".,;:!?)\\]}>\"'`“”’»/"
@@ -21,22 +23,38 @@ def bare(col: Column) -> Column:
     return F.lower(F.regexp_replace(col, "[\\s\\p{Z}\\p{C}]+", ""))
 
 
+def _doi_of(s: Column) -> Column:
+    """The DOI in a bare value, empty if it names none."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_extract(s, _DOI, 1), "/{2,}", "/"), _TAIL, "")
+
+
+def _repository_of(s: Column) -> Column:
+    path = F.regexp_replace(F.regexp_replace(s, _REPO_HEAD, ""), "/{2,}", "/")
+    return F.regexp_replace(F.regexp_replace(path, _TAIL, ""), "(?:\\.git)?/*$", "")
+
+
+def _filled(s: Column) -> Column:
+    return F.when(s != "", s)
+
+
 def tidy_doi(col: Column) -> Column:
     """The DOI a value names, in lower case: no blanks, resolver address, `doi` prefix, enclosing or
     trailing punctuation, repeated slashes. Null if the value is null, blank or names no DOI."""
-    found = F.regexp_extract(bare(col), _DOI, 1)
-    return F.nullif(F.regexp_replace(F.regexp_replace(found, "/+", "/"), _TAIL, ""), F.lit(""))
+    return let(_doi_of(bare(col)), _filled)
 
 
 def tidy_repository(col: Column) -> Column:
     """host/owner/name in lower case: no blanks, scheme, `www.`, enclosing or trailing punctuation,
     repeated slashes, final `.git`. Null if the value is null or blank."""
-    path = F.regexp_replace(F.regexp_replace(bare(col), _REPO_HEAD, ""), "/+", "/")
-    path = F.regexp_replace(F.regexp_replace(path, _TAIL, ""), "\\.git$", "")
-    return F.nullif(F.regexp_replace(path, "/+$", ""), F.lit(""))
+    return let(_repository_of(bare(col)), _filled)
 
 
 def tidy_reference(col: Column) -> Column:
-    """`doi:…` for a value that names a DOI, else `repo:…`; null for missing and blank values."""
-    doi = tidy_doi(col)
-    return F.when(doi.isNotNull(), F.concat(F.lit("doi:"), doi)).otherwise(F.concat(F.lit("repo:"), tidy_repository(col)))
+    """`doi:…` for a value that names a DOI, else `repo:…`; null for missing and blank values. Every
+    step of the tidying stands once in the expression, and the address is only tidied where no DOI is found."""
+
+    def named(s: Column) -> Column:
+        repository = let(_repository_of(s), lambda r: F.when(r != "", F.concat(F.lit("repo:"), r)))
+        return let(_doi_of(s), lambda d: F.when(d != "", F.concat(F.lit("doi:"), d)).otherwise(repository))
+
+    return let(bare(col), named)
