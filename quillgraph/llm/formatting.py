@@ -5,24 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions.codehost import let
 from quillgraph.functions.keys import tidy_reference
-from quillgraph.operators.skew import HOT_ROWS, HOT_SHARE, hot_keys
+from quillgraph.operators.skew import HOT_ROWS, HOT_SHARE, known_hot
 from quillgraph.runtime import Stage
 
 
 def canonical(pairs: DataFrame, id: str = "raw_id", fields: tuple[str, str] = ("repo_url", "paper_doi")) -> DataFrame:
-    """(id, key): both fields in tidy spelling, in one order; rows with a missing or blank field are left out."""
-    a, b = (tidy_reference(F.col(c)) for c in fields)
-    both = pairs.select(F.col(id).alias("id"), a.alias("a"), b.alias("b")).where("id is not null and a is not null and b is not null")
-    return both.select("id", F.concat_ws(" ", F.least("a", "b"), F.greatest("a", "b")).alias("key"))
+    """(id, key): both fields in tidy spelling, in one order; the key is null where a field is missing or blank."""
+    two = F.array(*(tidy_reference(F.col(c)) for c in fields))
+    key = let(two, lambda x: F.when(x[0].isNotNull() & x[1].isNotNull(), F.array_join(F.array_sort(x), " ")))
+    return pairs.select(F.col(id).alias("id"), key.alias("key"))
 
 
 def _split(pairs: DataFrame, id: str, fields: tuple[str, str], share: float, rows_: int):
+    """(rows of hot keys or None, all other rows) as (id, key)."""
     stage = Stage(pairs.sparkSession)
-    rows = stage.save(canonical(pairs, id, fields))
-    hot = stage.save(hot_keys(rows, ["key"], rows.count(), share, rows_))
-    hot = F.broadcast(hot)  # fewer than 1/share rows by its definition
-    return rows, rows.join(hot, "key", "left_semi"), rows.join(hot, "key", "left_anti")
+    tidied, total = stage.save_counted(canonical(pairs, id, fields))  # rows without a key stay: a filter would tidy twice
+    rows = tidied.where("id is not null and key is not null")
+    hot = known_hot(rows, ["key"], total, share, rows_)
+    if hot is None:
+        return None, rows
+    hot = F.broadcast(hot)  # no more keys than `hot_keys` says
+    return rows.join(hot, "key", "left_semi"), rows.join(hot, "key", "left_anti")
 
 
 def _hot_groups(rows: DataFrame, salts: int) -> DataFrame:
@@ -36,9 +41,9 @@ def collapse(pairs: DataFrame, id: str = "raw_id", fields: tuple[str, str] = ("r
 
     Hot keys, counted exactly, are salted and aggregated on two levels; all others on one.
     """
-    _, hot, rest = _split(pairs, id, fields, share, rows)
+    hot, rest = _split(pairs, id, fields, share, rows)
     cold = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n_copies"), F.min("id").alias("group_id"))
-    return _hot_groups(hot, salts).unionByName(cold).select("group_id", "n_copies", "key")
+    return (cold if hot is None else _hot_groups(hot, salts).unionByName(cold)).select("group_id", "n_copies", "key")
 
 
 def copies(pairs: DataFrame, id: str = "raw_id", fields: tuple[str, str] = ("repo_url", "paper_doi"), *, share: float = HOT_SHARE, rows: int = HOT_ROWS, salts: int = 64) -> DataFrame:
@@ -52,16 +57,15 @@ def copies(pairs: DataFrame, id: str = "raw_id", fields: tuple[str, str] = ("rep
     out; an id that repeats counts as often as it stands there; rows without a partner don't come
     out; empty tables give no rows; further columns are ignored.
 
-    Scale: the tidy keys are written once. Keys with more than `share` of all rows are found from
-    partial counts and aggregated with a salt on two levels; their fewer than 1/share groups are
-    broadcast back to their rows. All other keys take one shuffle, which brings the rows of a key
-    together for a window.
+    Scale: the tidy keys are written once. Keys with more rows than a task should hold are found from
+    partial counts and aggregated with a salt on two levels; their groups, no more than `hot_keys`
+    says, are broadcast back to their rows. All other keys take one shuffle, which brings the rows of
+    a key together for a window.
     """
-    _, hot, rest = _split(pairs, id, fields, share, rows)
-    groups = _hot_groups(hot, salts).where("n_copies > 1").select("key", "group_id")
+    hot, rest = _split(pairs, id, fields, share, rows)
     w = Window.partitionBy("key")
-    cold = rest.select("id", F.min("id").over(w).alias("group_id"), F.count(F.lit(1)).over(w).alias("n")).where("n > 1")
-    return (
-        hot.join(F.broadcast(groups), "key").select("group_id", F.col("id").alias(id))
-        .unionByName(cold.select("group_id", F.col("id").alias(id)))
-    )
+    cold = rest.select("id", F.min("id").over(w).alias("group_id"), F.count(F.lit(1)).over(w).alias("n")).where("n > 1").select("group_id", F.col("id").alias(id))
+    if hot is None:
+        return cold
+    groups = _hot_groups(hot, salts).where("n_copies > 1").select("key", "group_id")
+    return hot.join(F.broadcast(groups), "key").select("group_id", F.col("id").alias(id)).unionByName(cold)
