@@ -20,43 +20,47 @@ def components(edges: DataFrame, stage: Stage | None = None) -> DataFrame:
     Each round, every vertex u tells its neighbours and itself the least vertex of its neighbourhood;
     a vertex that nobody chose as a minimum drops out into the propagation forest, with the least
     vertex it was told as its parent, and the vertices told to one vertex stay joined through the
-    least of them. Rounds end when no edge is left: the vertices still there are the seeds. Then the
-    seeds' identifiers flow down the forest, from the last round to the first; a vertex that dropped
-    out in one round has a parent that stayed longer, so one join a round is enough.
+    least of them. A vertex left without a neighbour is a seed. Then the seeds' identifiers flow down
+    the forest, from the last round to the first; a vertex that dropped out in one round has a parent
+    that stayed longer, so one join a round is enough.
 
     Defined cases: edges with a null end are ignored; u = v makes the node known without joining
     anything; repeated and reversed edges change nothing; no edges give no rows; further columns are
     ignored.
 
     Scale: minima are combined before each shuffle, hubs meet their minimum in a bounded broadcast
-    (`skew_join`), each round is a written table, and only row counts reach the driver.
+    (`skew_join`), each step is a written table that is counted while it is written, and only these
+    counts reach the driver. Every vertex has a loop, by which seeds are told from what a round reads.
     """
     stage = stage or Stage(edges.sparkSession)
-    start = stage.save(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).na.drop().distinct())
-    nodes = start.select(F.col("u").alias("node")).union(start.select("v")).distinct()
-    pairs = start.where("u <> v")
-    graph = stage.save(pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    forest: list[DataFrame] = []
-    while n := graph.count():
-        least = graph.groupBy("u").agg(F.min(F.least("u", "v")).alias("least"))
-        told = skew_join(graph, least, ["u"], total=n).select(F.col("v").alias("u"), "least").union(least.select("u", "least"))
-        told = stage.save(told.distinct())
-        n_told = told.count()
-        chosen = told.groupBy("u").agg(F.min("least").alias("parent"), F.max((F.col("least") == F.col("u")).cast("int")).alias("stays"), F.count(F.lit(1)).alias("n"))
-        forest.append(chosen.where("stays = 0").select("u", "parent"))
-        joined = skew_join(told, chosen.where("n > 1").select("u", "parent"), ["u"], total=n_told).where("least <> parent").select(F.col("least").alias("u"), F.col("parent").alias("v"))
-        step = stage.save(joined.union(joined.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-        stage.drop(graph)  # what was told stays: the forest is read from it
-        graph = step
-    dropped = [t.select(F.col("u").alias("node")) for t in forest]
-    seeds = nodes if not dropped else nodes.join(reduce(DataFrame.union, dropped), "node", "left_anti")
-    labels = stage.save(seeds.select("node", F.col("node").alias("root")))
-    for tree in reversed(forest):
-        below = skew_join(tree, labels.select(F.col("node").alias("parent"), "root"), ["parent"]).select(F.col("u").alias("node"), "root")
-        grown = stage.save(labels.union(below))
-        stage.drop(labels)
-        labels = grown
-    return labels
+
+    def ends(rows: DataFrame, *more) -> DataFrame:
+        u, v = F.col("u"), F.col("v")
+        return rows.select(F.inline(F.array(*(F.struct(a.alias("u"), b.alias("v")) for a, b in ((u, v), (v, u), *more)))))
+
+    u, v = F.col("u"), F.col("v")
+    start = edges.select(u.cast("long").alias("u"), v.cast("long").alias("v")).na.drop()
+    links = F.sum((u != v).cast("long"))
+    graph, n, m = stage.save_counted(ends(start, (u, u), (v, v)).distinct(), links)
+    forest: list[tuple[DataFrame, int]] = []
+    seeds: list[DataFrame] = []
+    while m:
+        least = graph.groupBy("u").agg(F.min("v").alias("least"), F.max("v").alias("most"))
+        alone = (F.col("least") == u) & (F.col("most") == u)
+        seeds.append(least.where(alone).select("u"))
+        told, n_told = stage.save_counted(skew_join(graph, least.where(~alone).select("u", "least"), ["u"], total=n).select(v.alias("u"), "least"))
+        # The loop of a vertex tells it its own minimum.
+        chosen, n_chosen = stage.save_counted(told.groupBy("u").agg(F.min("least").alias("parent"), F.max("least").alias("most"), F.max((F.col("least") == u).cast("int")).alias("stays")))
+        forest.append((chosen.where("stays = 0").select("u", "parent"), n_chosen))
+        joined = skew_join(told, chosen.where("parent < most").select("u", "parent"), ["u"], total=n_told).where("least <> parent").select(F.col("least").alias("u"), F.col("parent").alias("v"))
+        graph, n, m = stage.save_counted(ends(joined).union(chosen.where("stays = 1").select("u", u.alias("v"))).distinct(), links)
+        stage.drop(told)
+    parts = [stage.save(reduce(DataFrame.union, [*seeds, graph.select("u")]).select(u.alias("node"), u.alias("root")))]  # of the last graph, only loops are left
+    for k, (tree, size) in enumerate(reversed(forest)):
+        known = reduce(DataFrame.union, parts).select(F.col("node").alias("parent"), "root")
+        below = skew_join(tree, known, ["parent"], total=size).select(u.alias("node"), "root")
+        parts.append(stage.save(below) if k + 1 < len(forest) else below)
+    return reduce(DataFrame.union, parts)
 
 
 def match_groups(
