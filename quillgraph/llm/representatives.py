@@ -37,17 +37,26 @@ def article_groups(documents: DataFrame, alternates: DataFrame, stage: Stage | N
     `current` is false for a document whose own DOI is an alternate DOI of another document.
     """
     stage = stage or Stage(documents.sparkSession)
-    own = documents.select("id", tidy_doi(F.col("doi")).alias("key")).where("id is not null and key is not null")
-    alt = alternates.select(F.col("document_id").alias("id"), tidy_doi(F.col("doi")).alias("key")).where("id is not null and key is not null")
-    alt = alt.distinct().join(documents.select("id").distinct(), "id", "left_semi")
-    former = alt.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    named = stage.save(own.union(alt).distinct())
-    hubs = named.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("other")).where("hub <> other").select("key", "hub")
-    edges = skew_join(named, hubs, ["key"]).select(F.col("id").alias("u"), F.col("hub").alias("v"))
-    # Every end of an edge has a partner: keys of one document have no hub.
-    groups = components(edges, stage).select(F.col("node").alias("id"), F.col("root").alias("group_id"))
-    superseded = own.join(former, "key").where("least <> id or most <> id").select("id").distinct().withColumn("_old", F.lit(True))
-    return groups.join(superseded, "id", "left").select("id", "group_id", F.col("_old").isNull().alias("current"))
+    alt = alternates.select(F.col("document_id").alias("id"), tidy_doi(F.col("doi")).alias("key"), F.lit(False).alias("own"))
+    alt = alt.join(documents.select("id").distinct(), "id", "left_semi")
+    named = stage.save(documents.select("id", tidy_doi(F.col("doi")).alias("key"), F.lit(True).alias("own")).union(alt)).where("id is not null and key is not null")
+    # Only keys of several documents tie anything; most keys stop here.
+    other = F.when(~F.col("own"), F.col("id"))
+    hubs = named.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("most"), F.min(other).alias("least_other"), F.max(other).alias("most_other"))
+    hubs = hubs.where("hub <> most").drop("most")
+    old = F.col("own") & ((F.col("least_other") != F.col("id")) | (F.col("most_other") != F.col("id")))
+    tied = stage.save(skew_join(named, hubs, ["key"]).select("id", "hub", F.coalesce(old, F.lit(False)).alias("old")))
+    groups = components(tied.select(F.col("id").alias("u"), F.col("hub").alias("v")), stage)
+    current = tied.groupBy("id").agg((~F.max("old")).alias("current"))
+    return groups.select(F.col("node").alias("id"), F.col("root").alias("group_id")).join(current, "id")
+
+
+def _ranking(kinds: dict[str, str]) -> tuple[Column, Column, list[Column]]:
+    """(completeness, recency, order of the ranking)."""
+    filled = sum((_whole(F.col(c), kinds[c]) * (1 if kinds[c] == "string" else 2) for c in FIELDS if c in kinds), F.lit(0))
+    seen = F.greatest(F.col("updated_datetime"), F.col("created_datetime"))
+    order = [F.col("current").desc(), F.col("_filled").desc(), F.col("_seen").desc_nulls_last(), F.col("id").asc()]
+    return filled.alias("_filled"), seen.alias("_seen"), order
 
 
 def best_records(documents: DataFrame, alternates: DataFrame) -> DataFrame:
@@ -71,11 +80,8 @@ def best_records(documents: DataFrame, alternates: DataFrame) -> DataFrame:
     groups = article_groups(documents, alternates, stage)
     kinds = dict(documents.dtypes)
     fields = [c for c in FIELDS if c in kinds]
-    filled = sum((_whole(F.col(c), kinds[c]) * (1 if kinds[c] == "string" else 2) for c in fields), F.lit(0))
-    seen = F.greatest(F.col("updated_datetime"), F.col("created_datetime"))
-    ranked = documents.select("id", "doi", *fields, *COUNTS, filled.alias("_filled"), seen.alias("_seen")).join(groups, "id")
-    members = stage.save(ranked)
-    order = [F.col("current").desc(), F.col("_filled").desc(), F.col("_seen").desc_nulls_last(), F.col("id").asc()]
+    filled, seen, order = _ranking(kinds)
+    members = stage.save(documents.select("id", "doi", *fields, *COUNTS, filled, seen).join(groups, "id"))
     top = members.withColumn("_rank", F.row_number().over(Window.partitionBy("group_id").orderBy(*order))).where("_rank = 1")
     top = top.select("group_id", F.col("id").alias("survivor_id"), F.col("doi").alias("doi"))
 
@@ -89,5 +95,9 @@ def best_records(documents: DataFrame, alternates: DataFrame) -> DataFrame:
 
 
 def survivors(documents: DataFrame, alternates: DataFrame) -> DataFrame:
-    """(first_id, survivor_id) of `best_records`, without building the fields."""
-    return best_records(documents, alternates).select("first_id", "survivor_id")
+    """(first_id, survivor_id) of `best_records`, by the same ranking; no field is shuffled or built."""
+    groups = article_groups(documents, alternates)
+    filled, seen, order = _ranking(dict(documents.dtypes))
+    members = documents.select("id", filled, seen).join(groups, "id")
+    top = members.withColumn("_rank", F.row_number().over(Window.partitionBy("group_id").orderBy(*order))).where("_rank = 1")
+    return top.select(F.col("group_id").alias("first_id"), F.col("id").alias("survivor_id"))
