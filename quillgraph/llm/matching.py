@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions.codehost import let
 from quillgraph.llm import names as N
 from quillgraph.llm.names import CONFLICT, FULL, INITIAL, NOTHING, ONE
 from quillgraph.operators.skew import known_hot, skew_join
@@ -81,17 +82,18 @@ class _Index:
         terms = self.weighted.groupBy("account").agg(F.collect_list(F.struct("term", "idf", "handle")).alias("asked"))  # terms of one account
         wide = pairs.join(self.people, "person").join(terms, "account").join(self.accounts, "account")
         given, last, u, m, words = (F.col(c) for c in ("given", "last", "u", "m", "name_words"))
-        wide = wide.withColumn("entry", N.person_terms(given, last)).withColumn("common", F.filter("asked", lambda t: F.array_contains(F.col("entry"), t["term"])))
-
         def score(rows: Column) -> Column:
             # One slip shares several forms: they count once, with the best.
             slip = lambda t: t["term"].startswith("e:")
             sure = F.aggregate(F.filter(rows, lambda t: ~slip(t)), F.lit(0.0), lambda s, t: s + t["idf"])
-            return self.left * (sure + F.coalesce(F.array_max(F.transform(F.filter(rows, slip), lambda t: t["idf"])), F.lit(0.0)))
+            return sure + F.coalesce(F.array_max(F.transform(F.filter(rows, slip), lambda t: t["idf"])), F.lit(0.0))
+
+        def scores(common: Column) -> Column:
+            return F.struct(score(common).alias("all"), score(F.filter(common, lambda t: t["handle"])).alias("handle"))
 
         nothing, no = F.lit(NOTHING), F.lit(False)
         wide = wide.select(
-            "account", "person", "n_same", score(F.col("common")).alias("score"), score(F.filter("common", lambda t: t["handle"])).alias("score_handle"),
+            "account", "person", "n_same", "length", let(N.person_terms(given, last), lambda e: let(F.filter("asked", lambda t: F.array_contains(e, t["term"])), scores)).alias("s"),
             F.when(F.col("as_handle") | (words == u), nothing).otherwise(N.says(words, given, last, F.lit(True))).alias("level_name"),
             N.says(u, given, last, no).alias("by_u"), N.says(m, given, last, no).alias("by_m"), F.when(F.col("as_handle"), N.says(words, given, last, no)).otherwise(nothing).alias("by_n"),
             # The given name as the name, and the surname inside a handle.
@@ -101,7 +103,7 @@ class _Index:
         wide = wide.withColumn("level_handle", F.when(F.least("by_u", "by_m", "by_n") == conflict, conflict).otherwise(F.greatest("by_u", "by_m", "by_n")))
         level = F.when(F.least("level_name", "level_handle") == conflict, conflict).otherwise(F.greatest("level_name", "level_handle"))
         wide = wide.withColumn("level", F.when((level == ONE) & F.col("apart"), FULL).otherwise(level))
-        return wide.select("account", "person", "n_same", "score", "score_handle", "level", "level_name", "level_handle")
+        return wide.select("account", "person", "n_same", (self.left * F.col("s.all")).alias("score"), (self.left * F.col("s.handle")).alias("score_handle"), "level", "level_name", "level_handle")
 
 
 def _nearest(rows: DataFrame, score: str) -> DataFrame:
