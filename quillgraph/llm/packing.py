@@ -236,11 +236,13 @@ def fill_containers(documents: DataFrame, *, capacity: int = CAPACITY, ranks: st
     mean = n_tokens / n_pieces if n_pieces else 1.0
     shared = spark.sparkContext.broadcast((np.log((n_pieces - df + 0.5) / (df + 0.5)), df < 2))
     pieces = rows.where("token is null").drop("token", "n_held")
-    none = pieces.where("n_tokens = 0").select(F.lit(None).cast("long").alias("container_id"), "doc_id", "piece", "n_pieces", "first_token", "n_tokens", F.lit(0).alias("position"))
-    routed = pieces.where("n_tokens > 0").mapInArrow(_keyed(shared, mean), _PIECES_SQL.replace(", token int, n_held long", ", route int"))
+    # Written, as cutting the ranges reads the routes once more.
+    routed = stage.save(pieces.mapInArrow(_keyed(shared, mean), _PIECES_SQL.replace(", token int, n_held long", ", route int")))
+    stage.drop(rows)
+    none = routed.where("n_tokens = 0").select(F.lit(None).cast("long").alias("container_id"), "doc_id", "piece", "n_pieces", "first_token", "n_tokens", F.lit(0).alias("position"))
     tasks = max(1, -(-n_pieces // (4 * shard)))
     order = ["route", "doc_id", "piece", "first_token"]
-    placed = routed.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    placed = routed.where("n_tokens > 0").repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     return placed.mapInArrow(_packed(shared, mean, capacity, shard), _OUT_SQL).unionByName(none)
 
 
