@@ -85,3 +85,18 @@ def commits_url(owner: Column, name: Column, username: Column, host: str = "http
 def titled(name: Column) -> Column:
     """Column-like name as a title."""
     return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
+
+
+def title_text(name: str) -> str:
+    """A column name as a title: blanks for underscores, each word with a capital."""
+    return " ".join(w[:1].upper() + w[1:] for w in name.replace("_", " ").split(" "))
+
+
+def relisted(col: Column, old: str, new: str) -> Column:
+    """A list in a text with another delimiter."""
+    return F.array_join(F.transform(F.split(col, "\\Q" + old + "\\E"), lambda w: F.trim(w)), new)
+
+
+def id_or_new(col: Column) -> Column:
+    """The id, or a new one where there is none."""
+    return F.coalesce(col, F.uuid())

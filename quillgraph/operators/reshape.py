@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions.text import title_text
 from quillgraph.runtime import Stage
 
 
@@ -93,3 +94,33 @@ def transpose(df: DataFrame, id: str, values: list[str], names: list[str]) -> Da
     """A small table turned: a row per value column, a column per name in `id`."""
     long = melt(df, [id], values)
     return long.groupBy("metric").agg(*(F.max(F.when(F.col(id) == n, F.col("value"))).alias(n) for n in names))
+
+
+AUDIT = ["created_datetime", "updated_datetime"]
+
+
+def without_audit(df: DataFrame) -> DataFrame:
+    """The table without its two audit columns."""
+    return df.drop(*AUDIT)
+
+
+def replaced(df: DataFrame, column: str, values: dict[str, str]) -> DataFrame:
+    """Values of a column replaced by a map; others stay."""
+    names = F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
+    return df.withColumn(column, F.coalesce(names[F.col(column)], F.col(column)))
+
+
+def renamed(df: DataFrame, keep: list[str] = ("const", "y")) -> DataFrame:
+    """Column names as titles, but for those that are kept."""
+    return df.toDF(*(c if c in keep else title_text(c) for c in df.columns))
+
+
+def first_by(df: DataFrame, key: str, value: str, order: list[str], as_: str | None = None) -> DataFrame:
+    """(key, value) of the first row per key in order of columns, combined before the shuffle; null values are skipped."""
+    return df.where(F.col(value).isNotNull()).groupBy(key).agg(F.min_by(value, F.struct(*order)).alias(as_ or value))
+
+
+def mode_smallest(df: DataFrame, key: str, value: str, as_: str | None = None) -> DataFrame:
+    """(key, mode) of `value` per key, the smallest of equally frequent ones."""
+    counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.groupBy(key).agg(F.min_by(value, F.struct(-F.col("_n"), F.col(value))).alias(as_ or value))

@@ -30,3 +30,9 @@ def match_pairs(pairs: DataFrame, authors: DataFrame, developers: DataFrame, sco
     scored = rows.select("researcher_id", "developer_account_id", score(F.col("name"), F.col("username"), F.col("account_name")).alias("predictive_model_confidence"))
     best = scored.where(F.col("predictive_model_confidence") >= least).groupBy("researcher_id", "developer_account_id").agg(F.max("predictive_model_confidence").alias("predictive_model_confidence"))
     return best.select("researcher_id", "developer_account_id", F.lit(MODEL).alias("predictive_model_name"), F.lit(VERSION).alias("predictive_model_version"), "predictive_model_confidence")
+
+
+def last_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One row per key: the last by `order`, combined before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")

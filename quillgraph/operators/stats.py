@@ -90,11 +90,28 @@ def chi2_independence(table: list[list[float]]) -> tuple[float, float, int]:
 
 
 def binomial_test(k: int, n: int, p: float = 0.5) -> float:
-    """Exact two-sided test: the sum of all outcomes that are at most as likely as k."""
+    """Exact two-sided test: the sum of all outcomes that are at most as likely as k.
+
+    Likelihood rises to its mode and falls again, so these outcomes are two tails: the other one's end
+    is found by bisection, and both are values of the incomplete beta function.
+    """
     if n == 0:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log(1 - p) for i in range(n + 1)]
-    return min(1.0, math.fsum(math.exp(x) for x in logs if x <= logs[k] + 1e-7))
+    log = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
+    lower = lambda i: 0.0 if i < 0 else 1.0 if i >= n else beta_i(1 - p, n - i, i + 1)
+    upper = lambda i: 1.0 if i <= 0 else 0.0 if i > n else beta_i(p, i, n - i + 1)
+    most, bound = min(n, math.floor((n + 1) * p)), log(k) + 1e-7
+    if log(most) <= bound:
+        return 1.0
+    if k < most:
+        a, b = most, n + 1  # the first outcome above the mode that is at most as likely
+        while b - a > 1:
+            a, b = ((a + b) // 2, b) if log((a + b) // 2) > bound else (a, (a + b) // 2)
+        return min(1.0, lower(k) + upper(b))
+    a, b = -1, most  # the last one below it
+    while b - a > 1:
+        a, b = (a, (a + b) // 2) if log((a + b) // 2) > bound else ((a + b) // 2, b)
+    return min(1.0, lower(a) + upper(k))
 
 
 def bonferroni(ps: list[float], compat: bool = False) -> list[float]:
@@ -118,6 +135,25 @@ def t_test(a: tuple[int, float, float], b: tuple[int, float, float]) -> tuple[fl
     return t, t_tail(t, dof), dof
 
 
+def t_quantile(p: float, dof: float) -> float:
+    """Value that a t-distributed figure exceeds in absolute value with probability p."""
+    low, high = 0.0, 1.0
+    while t_tail(high, dof) > p:
+        high *= 2
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if t_tail(mid, dof) > p else (low, mid)
+    return high
+
+
+def t_interval(a: tuple[int, float, float], b: tuple[int, float, float], level: float = 0.95) -> tuple[float, float]:
+    """Interval of the difference of the means of two groups, with pooled variance."""
+    (n, x, v), (m, y, w) = a, b
+    dof = n + m - 2
+    half = t_quantile(1 - level, dof) * math.sqrt(((n - 1) * v + (m - 1) * w) / dof * (1 / n + 1 / m))
+    return x - y - half, x - y + half
+
+
 def group_t_test(df: DataFrame, group: str, value: str, first, second) -> tuple[float, float, float]:
     """`t_test` of two groups of a DataFrame; only six numbers reach the driver."""
     rows = {r[0]: (r[1], r[2], r[3]) for r in df.where(F.col(group).isin(first, second)).groupBy(group).agg(F.count(value), F.avg(value), F.var_samp(value)).collect()}
@@ -152,40 +188,49 @@ def precision_recall(df: DataFrame, truth: str, guess: str, positive: str, by: l
 # ---- generalized linear models with log link
 
 
-def _moments(df: DataFrame, xs: list[str], weight, working) -> tuple[np.ndarray, np.ndarray]:
-    """XᵀWX and XᵀWz in one aggregation."""
-    cols = [F.lit(1.0), *(F.col(x) for x in xs)]
-    k = len(cols)
-    sums = [F.sum(weight * cols[i] * cols[j]) for i in range(k) for j in range(i, k)] + [F.sum(weight * c * working) for c in cols]
-    row = list(df.agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).first())
-    a = np.zeros((k, k))
-    it = iter(row)
-    for i in range(k):
-        for j in range(i, k):
-            a[i, j] = a[j, i] = next(it)
-    return a, np.array(list(it), float)
+def _sums(data: DataFrame, k: int, part) -> np.ndarray:
+    """Sum over all rows of the `k` numbers that `part` makes of a batch (y, x as arrays); k rows reach the driver."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        total = np.zeros(k)
+        for b in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            total += part(cols[0], np.column_stack([np.ones(b.num_rows), *cols[1:]]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(total)], ["i", "v"])
+
+    out = np.zeros(k)
+    for i, v in data.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v")).collect():
+        out[i] = v
+    return out
 
 
 def log_link_glm(df: DataFrame, y: str, xs: list[str], family: str, alpha: float = 1.0, tolerance: float = 1e-10, max_rounds: int = 60) -> list[dict]:
     """Coefficients of a `negative_binomial` (dispersion `alpha`) or `gaussian` model with log link.
 
-    Iteratively reweighted least squares: each round is one aggregation of the data to p × p sums, the
-    only thing that reaches the driver. Rows with a null are left out. The frame should be cached or
-    stored by the caller if it is costly to make. Every result has name, coef, exp_coef, se, z, p and
-    the 95 % interval, z by the normal distribution.
+    Iteratively reweighted least squares: each round is one scan that multiplies matrices of Arrow
+    batches and adds the p × p results up, the only thing that reaches the driver; the plan stays the
+    same however many columns there are. Rows with a null are left out. The frame should be stored by
+    the caller if it is costly to make. Every result has name, coef, exp_coef, se, z, p and the 95 %
+    interval, z by the normal distribution.
     """
     data = df.select(F.col(y).cast("double").alias("_y"), *(F.col(f"`{x}`").cast("double").alias(f"_x{i}") for i, x in enumerate(xs))).na.drop()
-    names = [f"_x{i}" for i in range(len(xs))]
-    n, mean = data.agg(F.count(F.lit(1)), F.avg("_y")).first()
-    beta = np.zeros(len(xs) + 1)
-    beta[0] = math.log(max(mean, 1e-8))
+    p = len(xs) + 1
+    n, total = _sums(data, 2, lambda y, x: np.array([len(y), y.sum()]))
+    beta = np.zeros(p)
+    beta[0] = np.log(max(total / max(n, 1), 1e-8))
+
+    def moments(y, x, beta):
+        eta = np.clip(x @ beta, -300, 300)
+        mu = np.exp(eta)
+        w = mu / (1 + alpha * mu) if family == "negative_binomial" else mu * mu
+        return np.concatenate([((x * w[:, None]).T @ x).ravel(), (x * w[:, None]).T @ (eta + (y - mu) / mu)])
+
+    a = np.zeros((p, p))
     for _ in range(max_rounds):
-        eta = F.lit(float(beta[0]))
-        for b, x in zip(beta[1:], names):
-            eta = eta + F.lit(float(b)) * F.col(x)
-        mu = F.exp(F.greatest(F.least(eta, F.lit(300.0)), F.lit(-300.0)))
-        weight = mu / (1 + F.lit(alpha) * mu) if family == "negative_binomial" else mu * mu
-        a, c = _moments(data, names, weight, eta + (F.col("_y") - mu) / mu)
+        s = _sums(data, p * p + p, lambda y, x, beta=beta: moments(y, x, beta))
+        a, c = s[: p * p].reshape(p, p), s[p * p :]
         new = np.linalg.lstsq(a, c, rcond=None)[0]
         done = np.abs(new - beta).max() <= tolerance * max(1.0, np.abs(new).max())
         beta = new
@@ -193,10 +238,7 @@ def log_link_glm(df: DataFrame, y: str, xs: list[str], family: str, alpha: float
             break
     scale = 1.0
     if family == "gaussian":
-        eta = F.lit(float(beta[0]))
-        for b, x in zip(beta[1:], names):
-            eta = eta + F.lit(float(b)) * F.col(x)
-        scale = data.agg(F.sum(F.pow(F.col("_y") - F.exp(eta), 2))).first()[0] / (n - len(beta))
+        scale = _sums(data, 1, lambda y, x: np.array([((y - np.exp(x @ beta)) ** 2).sum()]))[0] / (n - p)
     se = np.sqrt(np.maximum(np.diag(np.linalg.pinv(a)) * scale, 0))
     out = []
     for name, b, s in zip(["const", *xs], beta, se):

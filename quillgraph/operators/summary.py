@@ -98,3 +98,11 @@ def keys_with_rows(df: DataFrame, key: str, least: int) -> DataFrame:
 def share_of(part: Column, whole: Column) -> Column:
     """part / whole, null where the whole is 0 or null."""
     return F.try_divide(part.cast("double"), whole.cast("double"))
+
+
+def trend(df: DataFrame, x: str, y: str, z: float = 1.959963984540054) -> DataFrame:
+    """Linear trend of y by x as one row: (n, slope, intercept, se of the slope, low, high)."""
+    slope = F.regr_slope(y, x)
+    left = F.regr_syy(y, x) - slope * F.regr_sxy(y, x)
+    out = df.agg(F.regr_count(y, x).alias("n"), slope.alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.sqrt(left / (F.regr_count(y, x) - 2) / F.regr_sxx(y, x)).alias("se"))
+    return out.select("*", (F.col("slope") - z * F.col("se")).alias("low"), (F.col("slope") + z * F.col("se")).alias("high"))

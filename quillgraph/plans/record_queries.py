@@ -14,7 +14,7 @@ from quillgraph.operators.scorer import match_pairs
 from quillgraph.operators.store import get_or_create, new_rows, not_yet_stored
 from quillgraph.plans import team as T
 from quillgraph.plans.bridge import Graph
-from quillgraph.runtime import read
+from quillgraph.runtime import Stage, read
 
 QUERIES, SQL = {}, {}
 
@@ -261,7 +261,7 @@ def glm_citations(spark, d):
     """Negative binomial model of citations by team (D-12)."""
     rows = S.between_quantiles(T.team_filtered(Graph(spark, d)), "cited_by_count", 0.03, 0.97)
     rows = rows.select("cited_by_count", *(F.col(c).cast("double") for c in ("n_authors", "n_author_devs", "n_non_author_devs", "years_since")))
-    return spark.createDataFrame(ST.log_link_glm(rows.persist(), "cited_by_count", ["n_authors", "n_author_devs", "n_non_author_devs", "years_since"], "negative_binomial"))
+    return spark.createDataFrame(ST.log_link_glm(Stage(spark).save(rows), "cited_by_count", ["n_authors", "n_author_devs", "n_non_author_devs", "years_since"], "negative_binomial"))
 
 
 @query()
@@ -270,7 +270,7 @@ def glm_hindex(spark, d):
     rows = T.careers(Graph(spark, d))
     flag = lambda s: (F.col("coding_status") == s).cast("double").alias(s)
     rows = S.between_quantiles(rows.where("h_index > 0"), "h_index", 0.03, 0.97).select("h_index", "works_count", flag("any"), flag("majority"))
-    return spark.createDataFrame(ST.log_link_glm(rows.persist(), "h_index", ["works_count", "any"], "gaussian"))
+    return spark.createDataFrame(ST.log_link_glm(Stage(spark).save(rows), "h_index", ["works_count", "any"], "gaussian"))
 
 
 @query()

@@ -71,3 +71,10 @@ def test_query_equals_sql(spark, name):
     got = sorted((tuple(r) for r in df.select(*cols).collect()), key=repr)
     want = sorted(con.execute(f"SELECT {', '.join(cols)} FROM ({e.oracle_sql()[name]})").fetchall(), key=repr)
     assert got == want
+
+
+def test_owner_filter_ignores_case(spark):
+    from quillgraph.plans.report_queries import owner_filter
+
+    df = spark.createDataFrame([(1, "https://h/Own/r", "https://h/own"), (2, "https://h/own/r", "https://h/other"), (3, None, "https://h/own")], "id long, repository_url string, developer_account_url string")
+    assert [[r["id"] for r in owner_filter(df, m).orderBy("id").collect()] for m in ("all", "none", "only")] == [[1, 2, 3], [2, 3], [1]]

@@ -48,3 +48,17 @@ def test_glm_of_two_groups_is_the_ratio_of_means(spark, family):
     assert a["coef"] == pytest.approx(math.log(3), abs=1e-7) and b["coef"] == pytest.approx(math.log(3), abs=1e-7)
     if family == "negative_binomial":  # information of a saturated group: n * mu / (1 + mu)
         assert a["se"] == pytest.approx(math.sqrt(1 / (2 * 3 / 4)), rel=1e-6)
+
+
+@pytest.mark.parametrize("p", [0.5, 0.3, 0.9])
+def test_binomial_test_equals_the_sum_of_outcomes(p):
+    for n in (1, 2, 7, 30):
+        mass = [math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(n + 1)]
+        for k in range(n + 1):
+            assert S.binomial_test(k, n, p) == pytest.approx(min(1.0, sum(m for m in mass if m <= mass[k] * (1 + 1e-6))), abs=1e-9)
+    assert 0 < S.binomial_test(5_000_500_000, 10_000_000_000) < 1  # no loop over outcomes
+
+
+def test_t_interval():
+    low, high = S.t_interval((5, 3.0, 2.5), (5, 5.0, 2.5))
+    assert (low + high) / 2 == pytest.approx(-2) and (high - low) / 2 == pytest.approx(2.306004135, abs=1e-6)
