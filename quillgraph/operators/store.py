@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.text import strip
 from quillgraph.operators.reshape import ordinal
+from quillgraph.runtime import Stage
 
 
 def stripped(df: DataFrame) -> DataFrame:
@@ -30,16 +31,16 @@ def new_rows(existing: DataFrame, incoming: DataFrame, keys: list[str], order: l
     return first.join(e, same, "left_anti")
 
 
-def with_ids(existing: DataFrame, fresh: DataFrame, keys: list[str], id: str = "id") -> DataFrame:
+def with_ids(existing: DataFrame, fresh: DataFrame, keys: list[str], id: str = "id", stage: Stage | None = None) -> DataFrame:
     """`fresh` with ids that follow the greatest stored one, in order of the key, without one task sorting all."""
     top = existing.agg(F.coalesce(F.max(id), F.lit(0)).alias("_top"))
-    numbered = ordinal(fresh, keys, "_o").join(F.broadcast(top))  # one row
+    numbered = ordinal(fresh, keys, "_o", stage).join(F.broadcast(top))  # one row
     return numbered.withColumn(id, F.col("_top") + F.col("_o") + 1).drop("_o", "_top")
 
 
-def get_or_create(existing: DataFrame, incoming: DataFrame, keys: list[str], id: str = "id", now: Column | None = None) -> DataFrame:
+def get_or_create(existing: DataFrame, incoming: DataFrame, keys: list[str], id: str = "id", now: Column | None = None, stage: Stage | None = None) -> DataFrame:
     """The rows to append: new ones with their ids, creation time and a null update time."""
-    fresh = with_ids(existing, new_rows(existing, incoming, keys), keys, id)
+    fresh = with_ids(existing, new_rows(existing, incoming, keys), keys, id, stage)
     out = fresh.withColumn("created_datetime", (now if now is not None else F.current_timestamp()).cast("timestamp_ntz")).withColumn("updated_datetime", F.lit(None).cast("timestamp_ntz"))
     return out.select(id, *(c for c in out.columns if c != id))
 
@@ -49,16 +50,41 @@ def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
 
 
-def not_yet_stored(pairs: DataFrame, documents: DataFrame, alternates: DataFrame, repositories: DataFrame, links: DataFrame) -> DataFrame:
+def with_references(rows: DataFrame, references: dict[str, tuple[str, dict[str, str]]], table) -> DataFrame:
+    """`rows` with the ids of what their natural keys name; rows that name nothing stored are left out.
+
+    `table` gives a stored table by name. Keys are compared as they are stored, trimmed. A reference
+    may use an id that was found before it.
+    """
+    rows = stripped(rows)
+    for id, (target, key) in references.items():
+        stored = table(target).select(F.col("id").alias("_id"), *(F.col(k).alias(f"_k_{k}") for k in key))
+        on = None
+        for k, c in key.items():
+            same = F.col(c) == F.col(f"_k_{k}")
+            on = same if on is None else on & same
+        rows = rows.join(stored, on).drop(*(f"_k_{k}" for k in key)).withColumnRenamed("_id", id)
+    return rows
+
+
+def not_yet_stored(pairs: DataFrame, documents: DataFrame, alternates: DataFrame, repositories: DataFrame, links: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
     """Pairs (paper_doi, owner, name) without a stored link between the document and the repository.
 
     A document is known by its DOI or by an alternate one; case of owner and name makes no difference.
+    With `hosts` (id, name), pairs have a `host` too, and only repositories of that host count.
     """
     dois = documents.select(F.lower("doi").alias("_doi"), F.col("id").alias("_document")).union(alternates.select(F.lower("doi"), "document_id")).where("_doi is not null").distinct()
-    repos = repositories.select(F.lower("owner").alias("_owner"), F.lower("name").alias("_name"), F.col("id").alias("_repository"))
+    keys = {"paper_doi": "_doi", "owner": "_owner", "name": "_name"}
+    repos = repositories.select(F.lower("owner").alias("_owner"), F.lower("name").alias("_name"), F.col("id").alias("_repository"), *(["code_host_id"] if hosts is not None else []))
+    if hosts is not None:
+        keys["host"] = "_host"
+        repos = repos.join(hosts.select(F.col("id").alias("code_host_id"), F.lower("name").alias("_host")), "code_host_id").drop("code_host_id")
     stored = (
         links.select(F.col("document_id").alias("_document"), F.col("repository_id").alias("_repository")).distinct()
-        .join(dois, "_document").join(repos, "_repository").select("_doi", "_owner", "_name").distinct()
+        .join(dois, "_document").join(repos, "_repository").select(*keys.values()).distinct()
     )
-    on = (F.lower(pairs["paper_doi"]) == stored["_doi"]) & (F.lower(pairs["owner"]) == stored["_owner"]) & (F.lower(pairs["name"]) == stored["_name"])
+    on = None
+    for c, k in keys.items():
+        same = F.lower(pairs[c]) == stored[k]
+        on = same if on is None else on & same
     return pairs.join(stored, on, "left_anti")

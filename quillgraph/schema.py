@@ -46,6 +46,30 @@ SCHEMAS = {name: _schema(columns) for name, (_, columns) in _TABLES.items()}
 KEYS = {name: key.split() for name, (key, _) in _TABLES.items()}
 
 
+_DOCUMENT, _HOST = {"document_id": ("document", {"doi": "doi"})}, {"code_host_id": ("code_host", {"name": "host"})}
+_REPOSITORY = _HOST | {"repository_id": ("repository", {"code_host_id": "code_host_id", "owner": "owner", "name": "name"})}
+_RESEARCHER = {"researcher_id": ("researcher", {"open_alex_id": "researcher"})}
+
+#: How rows with natural keys get their foreign ids, in order: id column, the table it refers to, and which
+#: column of the row (or id found before) each part of that table's key is. Tables stand in order of storing.
+REFERENCES = {
+    "dataset_source": {}, "code_host": {}, "document": {},
+    "document_alternate_doi": {"document_id": ("document", {"doi": "document_doi"})},
+    "document_abstract": _DOCUMENT, "topic": {},
+    "document_topic": _DOCUMENT | {"topic_id": ("topic", {"open_alex_id": "topic"})},
+    "researcher": {}, "document_contributor": _DOCUMENT | _RESEARCHER, "institution": {},
+    "document_contributor_institution": _DOCUMENT | _RESEARCHER | {
+        "document_contributor_id": ("document_contributor", {"researcher_id": "researcher_id", "document_id": "document_id"}), "institution_id": ("institution", {"open_alex_id": "institution"}),
+    },
+    "funder": {}, "funding_instance": {"funder_id": ("funder", {"open_alex_id": "funder"})},
+    "document_funding_instance": _DOCUMENT | {"funder_id": ("funder", {"open_alex_id": "funder"}), "funding_instance_id": ("funding_instance", {"funder_id": "funder_id", "award_id": "award_id"})},
+    "repository": _HOST, "repository_readme": _REPOSITORY, "repository_language": _REPOSITORY, "developer_account": _HOST,
+    "repository_contributor": _REPOSITORY | {"developer_account_id": ("developer_account", {"code_host_id": "code_host_id", "username": "username"})},
+    "document_repository_link": _DOCUMENT | _REPOSITORY | {"dataset_source_id": ("dataset_source", {"name": "source"})},
+    "researcher_developer_account_link": {},
+}
+
+
 def foreign_keys() -> list[ForeignKey]:
     """Every column `<table>_id` refers to that table."""
     return [ForeignKey(t, c, c[:-3]) for t, s in SCHEMAS.items() for c in s.names if c.endswith("_id") and c[:-3] in SCHEMAS]

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.functions.text import ARXIV_DOI, decoded, text_of_index
+from quillgraph.functions.text import ARXIV_DOI, decoded, doi_url, id_or_new, text_of_index
 
+# The names of steps, the texts of errors and the fields of payloads in this file.
 PAIR = ["source", "repo_url", "paper_doi"]
 ERROR = ["source", "step", "identifier", "error", "traceback"]
 
@@ -166,3 +167,35 @@ def commit_churn(commits: DataFrame) -> DataFrame:
     cut = F.aggregate(files, F.lit(0).cast("long"), lambda s, e: s + e["value"]["deletions"])
     text = F.array_join(F.transform(files, lambda e: F.format_string("%s: +%d -%d", e["key"], e["value"]["insertions"], e["value"]["deletions"])), "; ")
     return commits.withColumns({"positive_lines_changed": add, "negative_lines_changed": cut, "abs_lines_changed": add + cut, "n_files_changed": F.size("files"), "per_file_lines_changed": text})
+
+
+def works_of(pairs: DataFrame, works: DataFrame, doi: str = "paper_doi") -> DataFrame:
+    """Pairs with their landed work, found by the DOI as an address; a pair without one has a null work (SRC-11)."""
+    held = works.select(doi_url(F.col("doi")).alias("_url"), F.struct(*works.columns).alias("work")).groupBy("_url").agg(F.min_by("work", F.col("work.id")).alias("work"))
+    return pairs.withColumn("_url", doi_url(F.col(doi))).join(held, "_url", "left").drop("_url")
+
+
+PAPER = "paperId string, externalIds struct<DOI:string>, title string, authors array<struct<authorId:string,name:string>>, embedding struct<vector:array<float>>"
+
+
+def extended_papers(papers: DataFrame, dois: DataFrame | None = None) -> DataFrame:
+    """(doi, paper_id, title, author_id, name, position) of landed extended papers, one row an author: `only`, or
+    `first`, `middle` and `last` in their order; an author without id gets a new one (SRC-16, W-08, F-21).
+    `dois` (doi) keeps those asked for; papers without authors or DOI don't come out."""
+    rows = papers.select(F.lower("externalIds.DOI").alias("doi"), F.col("paperId").alias("paper_id"), "title", F.size("authors").alias("_n"), F.posexplode("authors").alias("_at", "_a")).where("doi is not null")
+    if dois is not None:
+        rows = rows.join(dois.select(F.lower("doi").alias("doi")).distinct(), "doi", "left_semi")
+    place = F.when(F.col("_n") == 1, "only").when(F.col("_at") == 0, "first").when(F.col("_at") == F.col("_n") - 1, "last").otherwise("middle")
+    return rows.select("doi", "paper_id", "title", id_or_new(F.col("_a.authorId")).alias("author_id"), F.col("_a.name").alias("name"), place.alias("position"))
+
+
+def commit_log(spark: SparkSession, path: str) -> DataFrame:
+    """Commits (hash, author, datetime, message, files map<file, struct<insertions, deletions>>) of landed logs as
+    `git log --numstat --format=%x1e%H%x1f%an%x1f%aI%x1f%s` writes them; binary files count no lines (SRC-15)."""
+    text = spark.read.option("lineSep", "\u001e").text(path).where("trim(value) <> ''")
+    lines = F.split("value", "\n")
+    head = F.split(F.element_at(lines, 1), "\u001f")
+    stats = F.filter(F.transform(F.slice(lines, 2, 1 << 30), lambda x: F.split(x, "\t", 3)), lambda x: F.size(x) == 3)
+    number = lambda c: F.coalesce(c.try_cast("long"), F.lit(0).cast("long"))
+    files = F.map_from_entries(F.transform(stats, lambda x: F.struct(x[2], F.struct(number(x[0]).alias("insertions"), number(x[1]).alias("deletions")))))
+    return text.select(head[0].alias("hash"), head[1].alias("author"), F.to_timestamp(head[2]).alias("datetime"), head[3].alias("message"), files.alias("files"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 import os
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from quillgraph.operators.store import get_or_create, repeated_keys
-from quillgraph.schema import KEYS, SCHEMAS
+from quillgraph.operators.store import get_or_create, repeated_keys, with_references
+from quillgraph.runtime import Stage
+from quillgraph.schema import KEYS, REFERENCES, SCHEMAS
 
 
 class Catalog:
@@ -31,12 +32,19 @@ class Catalog:
 
     def store(self, table: str, incoming: DataFrame) -> int:
         """Appends the rows whose natural key isn't stored; how many these were."""
-        existing = self.read(table)
-        fresh = get_or_create(existing, incoming, KEYS[table])
-        fresh = fresh.select(*(F.col(f.name).cast(f.dataType) if f.name in fresh.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMAS[table]))
-        before = existing.count()
-        fresh.write.mode("append").parquet(self.path(table))
-        return self.read(table).count() - before
+        stage = Stage(self.spark)
+        try:
+            fresh = get_or_create(self.read(table), incoming, KEYS[table], stage=stage)
+            fresh = fresh.select(*(F.col(f.name).cast(f.dataType) if f.name in fresh.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMAS[table]))
+            seen = Observation()
+            fresh.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(self.path(table))
+            return seen.get.get("n") or 0
+        finally:
+            stage.close()
+
+    def store_natural(self, table: str, rows: DataFrame) -> int:
+        """`store` of rows that name what they refer to by natural keys; these tables must have been stored before."""
+        return self.store(table, with_references(rows, REFERENCES[table], self.read).select(*(c for c in SCHEMAS[table].names if c in {*rows.columns, *REFERENCES[table]})))
 
     def check(self, table: str) -> DataFrame:
         return repeated_keys(self.read(table), KEYS[table])
@@ -66,6 +74,42 @@ def latest_snapshot(names: list[str]) -> str | None:
     return max((n for n in names if re.fullmatch(r"\d{4}-\d{2}-\d{2}", n.strip("/"))), default=None)
 
 
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def read_snapshot(spark: SparkSession, root: str, table: str, newer_than: str | None = None, force: bool = False) -> DataFrame | None:
+    """A table of the newest dated folder under `root`; None if none is newer than a known date, unless forced (SRC-17)."""
+    fs, p = _folder(spark, root)
+    newest = latest_snapshot([f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory()]) if fs.exists(p) else None
+    if newest is None or newer_than is not None and newest <= newer_than and not force:
+        return None
+    return spark.read.parquet(f"{root}/{newest}/{table}")
+
+
+def write_snapshot(catalog: Catalog, root: str, date: str, skip: tuple[str, ...] = ("metadata",)) -> list[str]:
+    """Copies all tables of a catalog to the folder of a date, but for those to skip; the names of the copied ones (SNK-06)."""
+    if latest_snapshot([date]) is None:
+        raise ValueError(f"{date} is no date")
+    copied = [t for t in SCHEMAS if t not in skip]
+    for t in copied:
+        catalog.read(t).write.mode("overwrite").parquet(f"{root}/{date}/{t}")
+    return copied
+
+
+def credentials(path: str, key: str) -> list[str]:
+    """The list under `key` of a small YAML file of e-mails or tokens; they can be dealt out with `round_robin` (SRC-20)."""
+    found, inside = [], False
+    with open(path) as f:
+        for line in f:
+            if re.match(r"\S.*:", line):
+                inside = line.split(":")[0].strip() == key
+            elif inside and (m := re.match(r"""\s*-\s*["']?(.*?)["']?\s*$""", line)):
+                found.append(m.group(1))
+    return found
+
+
 def programming_languages(spark: SparkSession, path: str) -> DataFrame:
     """Names of type `programming` in a YAML list of languages: a top-level key starts an entry, its
     `type:` line tells the kind. Read as text, no YAML library is needed (SRC-09)."""

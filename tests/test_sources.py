@@ -135,3 +135,69 @@ def test_store_twice_and_stream(spark, landing):
     assert catalog.read("repository").count() == 2 and catalog.read("document_repository_link").count() == 2
     assert catalog.check("repository").isEmpty() and tables.read_errors(spark, str(landing / "err")).count() == 2
     assert catalog.read("document").where(F.col("updated_datetime").isNotNull()).isEmpty()
+
+
+def _graph(spark, path):
+    """Landed metadata of three works and three repositories that share authors, topics, funders and developers."""
+    works = [{"id": f"W{k}", "doi": f"10.1/W{k}", "title": f"T {k}", "publication_date": "2020-01-02", "cited_by_count": k, "cited_by_percentile_year": {"min": 1, "max": 2}, "fwci": 0.5, "type": "article", "open_access": {"is_oa": True, "oa_status": "gold"}, "abstract_inverted_index": {"a": [0], f"w{k}": [1]},
+              "topics": [{"id": f"T{j}", "display_name": "t", "score": 0.5, "field": {"id": "F", "display_name": "f"}, "subfield": {"id": "S", "display_name": "s"}, "domain": {"id": "D", "display_name": "d"}} for j in (1, k)],
+              "authorships": [{"author": {"id": f"A{j}"}, "author_position": "first" if j == 1 else "last", "is_corresponding": j == 1, "institutions": [{"id": f"I{j}", "display_name": "i", "ror": "r"}]} for j in (1, k + 1)],
+              "grants": [{"funder": "F1", "funder_display_name": "f", "award_id": f"X{k % 2}"}]} for k in (1, 2, 3)]
+    authors = [{"id": f"A{j}", "display_name": ["", "Ann Bell", "Bo Li", "Cy Dee", "Di Fox"][j], "works_count": 1, "cited_by_count": 2, "summary_stats": {"h_index": 3, "i10_index": 4, "2yr_mean_citedness": 0.5}} for j in (1, 2, 3, 4)]
+    repos = [{"owner": "Own", "repo": f"rep{k}", "fork": False, "forks_count": 1, "stargazers_count": 1, "watchers_count": 1, "open_issues_count": 0, "size": 5, "created_at": "2020-01-01T10:00:00Z", "pushed_at": "2020-02-01T10:00:00Z", "languages": {"R": 5, "C": 7}, "readme": {"content": "aGk="}, "contributors": [{"login": "annbell", "name": "Ann Bell", "email": None}, {"login": f"u{k}", "name": None, "email": None}]} for k in (1, 2, 3)]
+    frames = []
+    for name, items, schema in (("w", works, landed.WORK), ("a", authors, landed.AUTHOR), ("r", repos, landed.REPO)):
+        (path / f"{name}.json").write_text("\n".join(map(json.dumps, items)))
+        frames.append(spark.read.schema(schema).json(str(path / f"{name}.json")))
+    return dict(zip(("works", "authors", "repos"), frames))
+
+
+def test_the_whole_graph_is_stored_once(spark, tmp_path):
+    from quillgraph.operators.orphans import orphan_cascade
+
+    meta = _graph(spark, tmp_path)
+    pairs = spark.createDataFrame([("joss", "https://github.com/own/REP1", "10.1/old"), ("joss", "github.com/Own/rep2", "10.1/w2"), ("pwc", "github.com/Own/rep2", "10.1/W3"), ("pwc", "github.com/Own/none", "10.1/w1"), ("plos", "github.com/Own/rep3", "10.1/unknown"), ("plos", "gitlab.com/Own/rep3", "10.1/w1")], "source string, repo_url string, paper_doi string")
+    latest = spark.createDataFrame([("10.1/old", "10.1/W1")], "doi string, latest_doi string")
+    catalog = tables.Catalog(spark, str(tmp_path / "db"))
+    n = store_batch(catalog, pairs.where("source <> 'pwc'"), 0, str(tmp_path / "err"), **meta, latest=latest)
+    assert set(n) == set(SCHEMAS) and n["document"] == 2 and n["document_repository_link"] == 2 and n["document_alternate_doi"] == 1 and n["researcher_developer_account_link"] == 1
+    more = store_batch(catalog, pairs, 1, str(tmp_path / "err"), **meta, latest=latest)
+    assert more["document"] == 1 and more["document_repository_link"] == 1 and more["document_contributor"] == 2 and more["dataset_source"] == 1 and more["code_host"] == 0
+    again = store_batch(catalog, pairs, 2, str(tmp_path / "err"), **meta, latest=latest)
+    assert set(again.values()) == {0}
+    for t in SCHEMAS:
+        ids = catalog.read(t)
+        assert catalog.check(t).isEmpty() and ids.select("id").distinct().count() == ids.count() > 0, t
+    assert orphan_cascade({t: catalog.read(t) for t in SCHEMAS}, foreign_keys(), times=dict.fromkeys(SCHEMAS)).isEmpty()
+    assert rows(tables.read_errors(spark, str(tmp_path / "err")).where("batch = 1").select("identifier", "error")) == [("10.1/unknown", "no work"), ("10.1/w1", "Not a GitHub repository"), ("10.1/w1", "no repository")]
+    link = catalog.read("researcher_developer_account_link").join(catalog.read("researcher").selectExpr("id as researcher_id", "name"), "researcher_id").first()
+    assert link["name"] == "Ann Bell"
+    assert tables.write_snapshot(catalog, str(tmp_path / "snap"), "2024-05-01", skip=("topic",)) == [t for t in SCHEMAS if t != "topic"]
+    assert tables.read_snapshot(spark, str(tmp_path / "snap"), "document").count() == 3
+    assert tables.read_snapshot(spark, str(tmp_path / "snap"), "document", "2024-05-01") is None and tables.read_snapshot(spark, str(tmp_path / "none"), "document") is None
+    assert tables.read_snapshot(spark, str(tmp_path / "snap"), "document", "2024-05-01", force=True).count() == 3
+
+
+def test_a_repository_of_another_host_hides_no_pair(spark):
+    from quillgraph.operators.store import not_yet_stored
+
+    docs, alt = spark.createDataFrame([(1, "10.1/a")], "id long, doi string"), spark.createDataFrame([], "document_id long, doi string")
+    repos, hosts = spark.createDataFrame([(5, 2, "own", "rep")], "id long, code_host_id long, owner string, name string"), spark.createDataFrame([(1, "github"), (2, "gitlab")], "id long, name string")
+    links = spark.createDataFrame([(1, 5)], "document_id long, repository_id long")
+    pairs = spark.createDataFrame([("10.1/a", "own", "rep", "github"), ("10.1/a", "own", "rep", "gitlab")], "paper_doi string, owner string, name string, host string")
+    assert rows(not_yet_stored(pairs, docs, alt, repos, links, hosts).select("host")) == [("github",)]
+
+
+def test_lookups_papers_logs_and_credentials(spark, tmp_path):
+    pairs = spark.createDataFrame([("10.1/A",), ("10.1/z",)], "paper_doi string")
+    works = spark.createDataFrame([("W1", "https://doi.org/10.1/a"), ("W0", "10.1/A")], "id string, doi string")
+    assert rows(landed.works_of(pairs, works).select("paper_doi", "work.id")) == [("10.1/A", "W0"), ("10.1/z", None)]
+    papers = [{"paperId": "P", "externalIds": {"DOI": "10.1/A"}, "title": "T", "authors": [{"authorId": "1", "name": "a"}, {"authorId": None, "name": "b"}, {"authorId": "3", "name": "c"}]}, {"paperId": "Q", "externalIds": {"DOI": "10.1/b"}, "title": "U", "authors": [{"authorId": "9", "name": "d"}]}]
+    (tmp_path / "p.json").write_text("\n".join(map(json.dumps, papers)))
+    found = landed.extended_papers(spark.read.schema(landed.PAPER).json(str(tmp_path / "p.json")))
+    assert rows(found.select("name", "position")) == [("a", "first"), ("b", "middle"), ("c", "last"), ("d", "only")] and found.where("author_id is null").isEmpty()
+    (tmp_path / "log.txt").write_text("\x1eabc\x1fAnn\x1f2024-01-02T03:04:05+00:00\x1ffix: x\n\n3\t1\ta.py\n-\t-\tb.png\n\x1edef\x1fBo\x1f2024-01-03T03:04:05+00:00\x1fempty\n")
+    log = landed.commit_churn(landed.commit_log(spark, str(tmp_path / "log.txt")))
+    assert rows(log.select("hash", "author", "message", "abs_lines_changed", "n_files_changed")) == [("abc", "Ann", "fix: x", 4, 2), ("def", "Bo", "empty", 0, 0)]
+    (tmp_path / "c.yml").write_text("emails:\n  - a@x.example\n  - 'b@x.example'\nkeys:\n  - k1\n")
+    assert tables.credentials(str(tmp_path / "c.yml"), "emails") == ["a@x.example", "b@x.example"] and tables.credentials(str(tmp_path / "c.yml"), "none") == []
