@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 def strictly_unique(df: DataFrame, *keys: str) -> DataFrame:
     """Rows whose value of each key stands on no other row, the keys applied one after the other.
 
-    The order matters: rows that fall out by the first key don't count for the second.
+    The order matters: rows that fall out by the first key don't count for the second. A row whose key
+    is null falls out. Rows of a frequent key are combined before the shuffle, so none is sent on.
     """
     for k in keys:
-        once = df.groupBy(k).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").select(k)
-        df = df.join(once, k, "left_semi")
-    return df.select(*df.columns)
+        # One aggregate, combined before the shuffle: of a key that has one row, the least value is the value.
+        rest = [c for c in df.schema if c.name != k]
+        least = [F.first(f.name).alias(f.name) if "map<" in f.dataType.simpleString() else F.min(f.name).alias(f.name) for f in rest]
+        df = df.where(F.col(k).isNotNull()).groupBy(k).agg(F.count(F.lit(1)).alias("_n"), *least).where("_n = 1").select(*df.columns)
+    return df
 
 
 def best_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:

@@ -116,10 +116,8 @@ def orphan_cascade(
                 F.lit(fk.table).alias("ref_table"), F.lit(fk.column).alias("ref_column"), "row_id", "created",
                 F.lit("inherited").alias("kind"), F.lit("orphan parent").alias("reason"), F.lit(depth).alias("depth"),
             )
-            for old in rounds:
-                same = old.where((F.col("ref_table") == fk.table) & (F.col("ref_column") == fk.column))
-                step = step.join(same.select("row_id").distinct(), "row_id", "left_anti")
-            steps.append(step)
+            same = reduce(DataFrame.unionByName, rounds).where((F.col("ref_table") == fk.table) & (F.col("ref_column") == fk.column))
+            steps.append(step.join(same.select("row_id").distinct(), "row_id", "left_anti"))
         if not steps:
             break
         new = stage.save(reduce(DataFrame.unionByName, steps).select(*OUT))
@@ -127,9 +125,7 @@ def orphan_cascade(
             stage.drop(new)
             break
         # Only records that were no orphans before pass it on.
-        fresh = new
-        for old in rounds:
-            fresh = fresh.join(old.select("ref_table", "row_id").distinct(), ["ref_table", "row_id"], "left_anti")
+        fresh = new.join(reduce(DataFrame.unionByName, rounds).select("ref_table", "row_id").distinct(), ["ref_table", "row_id"], "left_anti")
         rounds.append(new)
         frontier = fresh
     return reduce(DataFrame.unionByName, rounds).select(*OUT)

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import days_between, years
-from quillgraph.operators.dedup import best_per_key, mode_by_recency
+from quillgraph.operators.dedup import best_per_key
 from quillgraph.operators.summary import below_quantile
 from quillgraph.plans.bridge import SURE, Graph
+from quillgraph.runtime import Stage
 
 #: A person or account with more sure links than this is ambiguous.
 MOST_LINKS = 3
@@ -35,13 +36,23 @@ def non_author_developers(pairs: DataFrame, authors: DataFrame, contributors: Da
     return all_.where((F.col("n_researchers") <= MOST_LINKS) & (F.col("n_authors") == 0)).drop("n_authors")
 
 
+def _of_pairs(g: Graph) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(pairs, authors, contributors, people) of the one-to-one pairs, written once for all branches of a plan."""
+    stage = Stage(g.pairs.sparkSession)
+    pairs = stage.save(g.pairs)
+    authors = stage.save(g.authors.join(pairs.select("document_id"), "document_id", "left_semi"))
+    contributors = stage.save(g.contributors.join(pairs.select("repository_id"), "repository_id", "left_semi"))
+    return pairs, authors, contributors, stage.save(g.people)
+
+
 def team_composition(g: Graph) -> DataFrame:
     """One row per pair with its numbers of authors and developers by role (D-07)."""
+    pairs, authors, contributors, people = _of_pairs(g)
     n = lambda df, key, name: df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
-    coders = n(author_contributors(g.pairs, g.authors, g.contributors, g.people), "document_id", "n_author_devs")
-    others = n(non_author_developers(g.pairs, g.authors, g.contributors, g.people), "repository_id", "n_non_author_devs")
+    coders = n(author_contributors(pairs, authors, contributors, people), "document_id", "n_author_devs")
+    others = n(non_author_developers(pairs, authors, contributors, people), "repository_id", "n_non_author_devs")
     team = (
-        g.pairs.join(n(g.authors, "document_id", "n_authors"), "document_id", "left").join(n(g.contributors, "repository_id", "n_devs"), "repository_id", "left")
+        pairs.join(n(authors, "document_id", "n_authors"), "document_id", "left").join(n(contributors, "repository_id", "n_devs"), "repository_id", "left")
         .join(coders, "document_id", "left").join(others, "repository_id", "left").na.fill(0, ["n_authors", "n_devs", "n_author_devs", "n_non_author_devs"])
     )
     return team.select("document_id", "repository_id", "source", "n_authors", "n_devs", "n_author_devs", (F.col("n_authors") - F.col("n_author_devs")).alias("n_author_non_devs"), "n_non_author_devs")
@@ -83,9 +94,13 @@ def careers(g: Graph) -> DataFrame:
     """One row per researcher of three and more documents: modal position, type and domain, and how
     often they coded (D-16)."""
     flags = code_flags(g).join(g.documents.select("document_id", "publication_date", "document_type"), "document_id")
-    rows = flags.join(g.domains.select("document_id", "domain"), "document_id", "left")
+    rows = Stage(flags.sparkSession).save(flags.join(g.domains.select("document_id", "domain"), "document_id", "left").select("researcher_id", "is_code_contributor", "publication_date", "position", "document_type", "domain"))
     counts = rows.groupBy("researcher_id").agg(F.count(F.lit(1)).alias("n_documents"), F.count(F.when(F.col("is_code_contributor"), 1)).alias("n_coded")).where("n_documents >= 3")
-    for value, name in (("position", "modal_position"), ("document_type", "modal_type"), ("domain", "modal_domain")):
-        counts = counts.join(mode_by_recency(rows, "researcher_id", value, "publication_date", name), "researcher_id")
-    counts = counts.join(g.researchers.drop("name"), "researcher_id")
+    # The three modes in one pass; of equally frequent values the one seen last, then the smallest.
+    names = {"position": "modal_position", "document_type": "modal_type", "domain": "modal_domain"}
+    long = rows.select("researcher_id", "publication_date", F.inline(F.array(*(F.struct(F.lit(n).alias("kind"), F.col(c).alias("value")) for c, n in names.items())))).where("value is not null")
+    seen = long.groupBy("researcher_id", "kind", "value").agg(F.count(F.lit(1)).alias("n"), F.max(F.unix_date("publication_date")).alias("last"))
+    order = F.struct(-F.col("n"), F.coalesce(-F.col("last"), F.lit(2147483647)), F.col("value"))
+    modes = seen.groupBy("researcher_id").agg(*(F.min_by(F.when(F.col("kind") == n, F.col("value")), F.when(F.col("kind") == n, order)).alias(n) for n in names.values()))
+    counts = counts.join(modes.na.drop(subset=list(names.values())), "researcher_id").join(g.researchers.drop("name"), "researcher_id")
     return counts.select("*", (F.col("n_coded") / F.col("n_documents")).alias("coding_share"), coding_status(F.col("n_coded"), F.col("n_documents")).alias("coding_status"))
