@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.runtime import Stage
+
 
 def describe(df: DataFrame, value: str, by: list[str] | None = None, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     """count, mean, sample std, min, exact percentiles (linear interpolation) and max of a value."""
@@ -62,12 +64,38 @@ def mean_interval(df: DataFrame, by: list[str], value: str, z: float = 1.9599639
     return df.groupBy(*by).agg(F.avg(value).alias("mean"), (F.avg(value) - half).alias("low"), (F.avg(value) + half).alias("high"), F.count(value).alias("n"))
 
 
+def running_counts(df: DataFrame, value: str) -> DataFrame:
+    """(value, n, run): rows per distinct value, and rows of at most that value, nulls left out.
+
+    Values are counted, range partitioned and written; what to add to a partition comes from the sums of
+    those before it, one row each. So no task holds all values, however many different ones there are.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = Stage(df.sparkSession).save(counts.repartitionByRange(parts, value).sortWithinPartitions(value).withColumn("_row", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_part", F.shiftright("_row", 33))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = rows.groupBy("_part").agg(F.sum("n").alias("_size")).select("_part", before.alias("_before"))  # one row a partition
+    within = F.sum("n").over(Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_within", within).join(F.broadcast(starts), "_part").select(value, "n", (F.col("_before") + F.col("_within")).alias("run"))
+
+
+def exact_quantiles(df: DataFrame, value: str, *qs: float) -> DataFrame:
+    """Exact quantiles (linear interpolation) of all rows as one row of columns q0, q1, …; for values of which there
+    are too many different ones for the buffer of `percentile`. All null where there are no values."""
+    rows = Stage(df.sparkSession).save(running_counts(df, value))
+    total = rows.agg(F.max("run").alias("_total"))
+    at = [F.lit(float(q)) * (F.col("_total") - 1) for q in qs]
+    rows = rows.join(F.broadcast(total))  # one row
+    ends = rows.agg(F.max("_total").alias("_total"), *(F.min(F.when(F.col("run") > f(r), F.col(value).cast("double"))).alias(f"_{n}{i}") for i, r in enumerate(at) for n, f in (("low", F.floor), ("high", F.ceil))))
+    return ends.select(*(((1 - (r - F.floor(r))) * F.col(f"_low{i}") + (r - F.floor(r)) * F.col(f"_high{i}")).alias(f"q{i}") for i, r in enumerate(at)))
+
+
 def ecdf(df: DataFrame, value: str) -> DataFrame:
-    """(value, share) of rows at most that value. Values are counted first, so the window sees each distinct value once."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    run = F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    return counts.withColumn("_run", run).join(F.broadcast(total)).select(value, (F.col("_run") / F.col("_total")).alias("share"))
+    """(value, share) of rows at most that value."""
+    rows = running_counts(df, value)
+    total = df.agg(F.count(value).alias("_total"))
+    return rows.join(F.broadcast(total)).select(value, (F.col("run") / F.col("_total")).alias("share"))  # one row
 
 
 def box_plot(df: DataFrame, value: str, by: list[str]) -> DataFrame:

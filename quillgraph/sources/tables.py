@@ -61,6 +61,23 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def rendered(df: DataFrame, form: str = "markdown", most: int = 1000) -> str:
+    """A small report as a `markdown`, `html` or `latex` table; refuses one of more than `most` rows (SNK-07)."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    cells = [df.columns, *(["" if x is None else str(x) for x in r] for r in rows)]
+    if form == "html":
+        safe = lambda x: x.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+        line = lambda r, tag: "<tr>" + "".join(f"<{tag}>{safe(x)}</{tag}>" for x in r) + "</tr>"
+        return "<table>" + line(cells[0], "th") + "".join(line(r, "td") for r in cells[1:]) + "</table>"
+    if form == "latex":
+        safe = lambda x: re.sub(r"([&%$#_{}])", r"\\\1", x)
+        body = [" & ".join(map(safe, r)) + r" \\" for r in cells]
+        return "\n".join([r"\begin{tabular}{" + "l" * len(cells[0]) + "}", body[0], r"\hline", *body[1:], r"\end{tabular}"])
+    return "\n".join("| " + " | ".join(r) + " |" for r in [cells[0], ["---"] * len(cells[0]), *cells[1:]])
+
+
 def write_errors(errors: DataFrame, root: str, batch: int) -> None:
     errors.write.mode("overwrite").parquet(f"{root}/batch={batch}")
 

@@ -41,6 +41,26 @@ def test_quantile_cuts(spark):
     assert rows(summary.describe(df, "v", quantiles=(0.5,)).select("n", "p50")) == [(100, 50.5)]
 
 
+def test_quantiles_of_many_values_are_exact(spark):
+    import random
+
+    r = random.Random(1)
+    values = [r.choice([r.random(), round(r.random(), 1), None]) for _ in range(5001)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    qs = (0.0, 0.03, 0.25, 0.5, 0.977, 1.0)
+    want = df.agg(*(F.percentile("v", q) for q in qs)).first()
+    assert list(summary.exact_quantiles(df, "v", *qs).first()) == pytest.approx(list(want))
+    kept = sorted(v for v in values if v is not None)
+    got = {x["v"]: x["share"] for x in summary.ecdf(df, "v").collect()}
+    assert len(got) == len(set(kept)) and all(got[v] == pytest.approx(sum(k <= v for k in kept) / len(kept)) for v in kept[::200])
+    assert list(summary.exact_quantiles(df.where("false"), "v", 0.5).first()) == [None] and summary.ecdf(df.where("v is null"), "v").count() == 0
+
+
+def test_strictly_unique_of_wide_rows(spark):
+    df = spark.createDataFrame([(1, None, {"a": 1}, "x"), (2, 5, {"b": 2}, None), (2, 6, {}, "y"), (None, 7, {}, "z")], "k long, n long, m map<string,long>, s string")
+    assert [tuple(r) for r in dedup.strictly_unique(df, "k").collect()] == [(1, None, {"a": 1}, "x")]
+
+
 def test_count_report_leaves_null_groups_out(spark):
     df = spark.createDataFrame([(1, "x"), (2, None)], "id long, g string")
     assert rows(summary.count_report(df, {"g": "g"}, {"n_ids": "id"})) == [("g", "x", 1, 1), ("total", "total", 2, 2)]

@@ -201,3 +201,11 @@ def test_lookups_papers_logs_and_credentials(spark, tmp_path):
     assert rows(log.select("hash", "author", "message", "abs_lines_changed", "n_files_changed")) == [("abc", "Ann", "fix: x", 4, 2), ("def", "Bo", "empty", 0, 0)]
     (tmp_path / "c.yml").write_text("emails:\n  - a@x.example\n  - 'b@x.example'\nkeys:\n  - k1\n")
     assert tables.credentials(str(tmp_path / "c.yml"), "emails") == ["a@x.example", "b@x.example"] and tables.credentials(str(tmp_path / "c.yml"), "none") == []
+
+
+def test_rendered_reports(spark):
+    df = spark.createDataFrame([("a_b", 1), ("<c>", None)], "name string, n long")
+    assert tables.rendered(df) == "| name | n |\n| --- | --- |\n| a_b | 1 |\n| <c> |  |"
+    assert "<td>&lt;c&gt;</td>" in tables.rendered(df, "html") and "a\\_b & 1 \\\\" in tables.rendered(df, "latex")
+    with pytest.raises(ValueError):
+        tables.rendered(spark.range(5), most=3)
