@@ -11,7 +11,7 @@ from quillgraph.operators import summary as S
 from quillgraph.operators.dedup import best_per_key, greedy_pairs, strictly_unique
 from quillgraph.operators.reshape import hash_sample, sample_per_group, stack_sources
 from quillgraph.operators.scorer import match_pairs
-from quillgraph.operators.store import get_or_create, new_rows, not_yet_stored
+from quillgraph.operators.store import get_or_create, not_yet_stored
 from quillgraph.plans import team as T
 from quillgraph.plans.bridge import Graph
 from quillgraph.runtime import Stage, read
@@ -302,14 +302,15 @@ def match_links(spark, d):
     return match_pairs(links, authors, devs, least=0.8)
 
 
-@query()
+@query("""SELECT 'first' AS run, count(*) AS n_rows, count(*) AS n_ids FROM (SELECT DISTINCT code_host_id, trim(owner), trim(name) FROM repository) UNION ALL SELECT 'again', 0, 0""")
 def store_idempotent(spark, d):
-    """Rows a second run would add to a store (none), and a first one to an empty one (D-40)."""
+    """Rows and different ids a first run adds to an empty store, and a second run to what the first one stored (D-40)."""
     repos = read(spark, d, "repository")
-    rows = repos.select("code_host_id", "owner", "name")
-    first = get_or_create(repos.where("false"), rows, ["code_host_id", "owner", "name"])
-    again = new_rows(repos, rows, ["code_host_id", "owner", "name"])
-    return stack_sources(("first", first.agg(F.count(F.lit(1)).alias("n_rows"))), ("again", again.agg(F.count(F.lit(1)).alias("n_rows"))), name="run").select("run", "n_rows")
+    rows, keys = repos.drop("id", "created_datetime", "updated_datetime"), ["code_host_id", "owner", "name"]
+    first = Stage(spark).save(get_or_create(repos.where("false"), rows, keys))
+    again = get_or_create(first, rows, keys)
+    both = stack_sources(*((n, t.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("id").alias("n_ids"))) for n, t in (("first", first), ("again", again))), name="run")
+    return both.select("run", "n_rows", "n_ids")
 
 
 @query("""SELECT 'document' AS stored, row_number() OVER (ORDER BY doi) AS id, doi AS natural_key FROM (SELECT DISTINCT trim(doi) AS doi FROM scholarly_document)
