@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ CAPACITY = 2048
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: how that tokenizer splits text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Bytes of such a file, at most.
+MOST_RANKS = 64_000_000
 #: Texts of one shard of the inverted index.
 SHARD = 1024
 # Usual BM25 parameters.
@@ -26,10 +29,14 @@ K1, B = 1.2, 0.75
 
 def encoder(path: str):
     """The tokenizer of a file of ranks."""
+    with open(path, "rb") as f:
+        return encoder_of(f.read())
+
+
+def encoder_of(content: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines()) if a}
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -125,11 +132,11 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema)], schema=schema)
 
 
-def _tokenised(ranks: str, capacity: int):
-    """Function for mapInArrow: (id, text) to rows of _PIECES."""
+def _tokenised(ranks, capacity: int):
+    """Function for mapInArrow: (id, text) to rows of _PIECES; `ranks` is the broadcast file of the tokenizer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks)
+        enc = encoder_of(ranks.value)
         held = np.zeros(0, np.int64)
         for b in (part for whole in batches for part in slices(whole)):
             rows, seen = [], []
@@ -221,14 +228,18 @@ def fill_containers(documents: DataFrame, *, capacity: int = CAPACITY, ranks: st
     Scale: texts are tokenised once and written as numbers, which one shuffle sorts by route; ranges are
     cut by route, id and piece, so a route that very many pieces have is split over tasks. A task
     holds one shard, which also ends at 2,000 containers' worth of tokens. The driver sees counts per
-    token, as many as the vocabulary has, and sends them to the tasks. `ranks` must be readable at that
-    path by all executors.
+    token, as many as the vocabulary has, and sends them to the tasks, and the tokenizer's file, which
+    only the driver reads (at most MOST_RANKS bytes).
     """
     spark = documents.sparkSession
     stage = Stage(spark)
     source = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    if os.path.getsize(ranks) > MOST_RANKS:
+        raise ValueError(f"{ranks} has more than {MOST_RANKS} bytes")
+    with open(ranks, "rb") as f:
+        file = spark.sparkContext.broadcast(f.read())
     full = F.col("token").isNull() & (F.col("n_tokens") > 0)
-    rows, _, n_pieces, n_tokens = stage.save_counted(source.mapInArrow(_tokenised(ranks, capacity), _PIECES_SQL), F.sum(full.cast("long")), F.sum(F.when(full, F.col("n_tokens")).otherwise(0)))
+    rows, _, n_pieces, n_tokens = stage.save_counted(source.mapInArrow(_tokenised(file, capacity), _PIECES_SQL), F.sum(full.cast("long")), F.sum(F.when(full, F.col("n_tokens")).otherwise(0)))
     held = rows.where("token is not null").groupBy("token").agg(F.sum("n_held").alias("n")).collect()  # a row per token of the vocabulary at most
     df = np.zeros(max([r["token"] for r in held], default=0) + 1, np.int64)
     for r in held:
