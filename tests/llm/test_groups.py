@@ -105,3 +105,23 @@ def test_copies(spark, hot):
     assert rows(copies(df, share=hot[0], rows=hot[1])) == [(1, 1), (1, 2), (1, 3)]
     assert rows(collapse(df, share=hot[0], rows=hot[1]).select("group_id", "n_copies")) == [(1, 3), (10, 1), (4, 1), (5, 1), (9, 1)]
     assert copies(df.where("false")).count() == 0
+
+
+def test_a_hot_key_takes_the_salted_path(spark, monkeypatch):
+    """A key of half of all rows, with the thresholds as they are."""
+    from pyspark.sql import functions as F
+
+    from quillgraph.llm import formatting
+
+    salted = []
+    two_levels = formatting._hot_groups
+    monkeypatch.setattr(formatting, "_hot_groups", lambda rows, salts: salted.append(salts) or two_levels(rows, salts))
+    n = 24_000
+    hot = F.concat(F.when(F.col("id") % 4 == 0, "https://").otherwise("HTTP://www."), F.lit("forge.example/Own/Rep"), F.when(F.col("id") % 3 == 0, ".git/").otherwise("/"))
+    rows = spark.range(n).select(F.col("id").alias("raw_id"), F.when(F.col("id") % 2 == 0, hot).otherwise(F.concat(F.lit("forge.example/o/r"), (F.col("id") % 5999).cast("string"))).alias("repo_url"), F.lit("10.1/A").alias("paper_doi"))
+    got = copies(rows)
+    assert salted and got.where("group_id = 0").count() == n // 2
+    want = rows.where("raw_id % 2 = 1").groupBy("repo_url").agg(F.min("raw_id").alias("group_id"), F.count("*").alias("n")).where("n > 1")
+    rest = got.where("group_id <> 0").groupBy("group_id").agg(F.count("*").alias("n"))
+    assert rest.count() == want.count() > 5000 and rest.join(want, ["group_id", "n"], "left_anti").count() == 0
+    assert collapse(rows).agg(F.max("n_copies"), F.sum("n_copies")).first() == (n // 2, n)
